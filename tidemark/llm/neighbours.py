@@ -133,7 +133,7 @@ def most_similar(vectors: DataFrame, reached_from: DataFrame | None = None, k: i
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema)
     index = Index(sample, n, lists, parts, words, block_rows)
-    probes = probes or max(1, round(5 * index.lists / 64))
+    probes = probes or max(min(5, index.lists), round(5 * index.lists / 64))
     reps = held.join(members.where("row_id <> rep").select("row_id"), "row_id", "left_anti")
     cells = reps.select("row_id", "vec").mapInArrow(_routed(index, probes, margin), "cell long, row_id long, role byte, vec binary")
     found = cells.groupBy("cell").applyInArrow(_searched(index, k, rerank), "a long, b long, sim float")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.clusters import cluster_members, described, near_members
 from tidemark.llm.neighbours import close_pairs, most_similar
 
 
@@ -19,5 +20,14 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return close_pairs(p1_neighbours(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found)}
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    members = cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary"))
+    return described(members, _table(spark, root, "sample_manifest"), _table(spark, root, "prepared"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_members(cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary")))
+
+
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p5_clusters, p5_found)}
 ORACLE: dict[str, str] = {}

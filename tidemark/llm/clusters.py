@@ -2,7 +2,8 @@
 
 Every partition builds a cluster-feature tree over its unit vectors; a leaf entry is a mergeable summary (count, linear
 sum), a vector joins the nearest entry if its cosine with the entry's direction reaches the tree's threshold, and a tree
-that outgrows its bound is rebuilt with a lower threshold. Leaf summaries of neighbouring partitions are merged in
+that outgrows its bound is rebuilt: without its sparse entries (potential outliers, which are left to the assignment pass)
+where those are most of it, else with a lower threshold. Leaf summaries of neighbouring partitions are merged in
 rounds of bounded fan-in. The last round's entries, at most ``max_leaves``, are agglomerated by Ward's criterion on the
 driver, and one pass over all rows assigns each to the nearest centre.
 """
@@ -24,8 +25,8 @@ from tidemark.session import staged
 class FeatureTree:
     """A cluster-feature tree over directions: entries (n, linear sum) in leaves, nodes of bounded width above them."""
 
-    def __init__(self, dim: int, threshold: float = 0.5, max_leaves: int = 1024, width: int = 32):
-        self.dim, self.threshold, self.max_leaves, self.width = dim, threshold, max_leaves, width
+    def __init__(self, dim: int, threshold: float = 0.5, max_leaves: int = 1024, width: int = 32, sparse: float = 0.25):
+        self.dim, self.threshold, self.max_leaves, self.width, self.sparse = dim, threshold, max_leaves, width, sparse
         self._clear()
 
     def _clear(self) -> None:
@@ -96,7 +97,11 @@ class FeatureTree:
 
     def _rebuild(self) -> None:
         n, s = self.entries()
-        self.threshold -= 0.05
+        dense = n >= self.sparse * n.mean()
+        if dense.sum() <= self.max_leaves // 2:
+            n, s = n[dense], s[dense]
+        else:
+            self.threshold -= 0.05
         self._clear()
         for i in np.argsort(-n, kind="stable"):
             self.insert(n[i], s[i])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster_members, described, near_members
+from tidemark.llm.copies import all_copies, canonical_columns, canonical_payloads, distinct_records
 from tidemark.llm.neighbours import close_pairs, most_similar
 
 
@@ -20,6 +22,24 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return close_pairs(p1_neighbours(spark, root))
 
 
+def _records(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {
+        "prepared": canonical_columns(_table(spark, root, "prepared"), "complaint_id", ["date_received", "company", "narrative"]),
+        "raw_records": canonical_payloads(_table(spark, root, "raw_records"), "record_id", "payload"),
+    }
+
+
+def p4_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct record once, with the number of its stored rows."""
+    parts = [distinct_records(rows)[0].select(F.lit(name).alias("table_name"), "first_id", "n_rows") for name, rows in _records(spark, root).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    parts = [all_copies(*distinct_records(rows)).select(F.lit(name).alias("table_name"), "first_id", "copy_id") for name, rows in _records(spark, root).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     members = cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary"))
     return described(members, _table(spark, root, "sample_manifest"), _table(spark, root, "prepared"))
@@ -29,5 +49,5 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return near_members(cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary")))
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p5_clusters, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found)}
 ORACLE: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.clusters import cluster_members, described, near_members
 from tidemark.llm.copies import all_copies, canonical_columns, canonical_payloads, distinct_records
 from tidemark.llm.neighbours import close_pairs, most_similar
+from tidemark.llm.overlap import overlap_report, overlapping, split_overlaps
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -49,5 +50,14 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return near_members(cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary")))
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found)}
+def p6_overlap_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap_report(*split_overlaps(_table(spark, root, "sample_manifest"), _table(spark, root, "prepared")))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    found = overlapping(*split_overlaps(_table(spark, root, "sample_manifest"), _table(spark, root, "prepared")))
+    return found.select(F.col("id").alias("complaint_id"), F.col("split").alias("sample_split")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found)}
 ORACLE: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster_members, described, near_members
 from tidemark.llm.copies import all_copies, canonical_columns, canonical_payloads, distinct_records
+from tidemark.llm.leaks import leaked_items
 from tidemark.llm.neighbours import close_pairs, most_similar
 from tidemark.llm.overlap import overlap_report, overlapping, split_overlaps
 
@@ -59,5 +60,18 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("id").alias("complaint_id"), F.col("split").alias("sample_split")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found)}
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaked_items(_table(spark, root, "documents"), _table(spark, root, "eval_items"))
+
+
+def p7_leaks_by_item(spark: SparkSession, root: str) -> DataFrame:
+    """Per item in how many documents it leaked; items that leaked nowhere are left out."""
+    return p7_leaks(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("most_coverage"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_leaks(spark, root).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found)}
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster_members, described, near_members
 from tidemark.llm.copies import all_copies, canonical_columns, canonical_payloads, distinct_records
+from tidemark.llm.languages import document_languages, mislabelled, segments
 from tidemark.llm.leaks import leaked_items
+from tidemark.llm.mixing import Mix
 from tidemark.llm.neighbours import close_pairs, most_similar
 from tidemark.llm.overlap import overlap_report, overlapping, split_overlaps
 
@@ -73,5 +75,33 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_leaks(spark, root).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found)}
+def _mix(spark: SparkSession, root: str) -> Mix:
+    return Mix(_table(spark, root, "documents"), _table(spark, root, "mix_targets"))
+
+
+def p8_schedule(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root).schedule
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root).report
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root).report.where("NOT reachable AND empty_slots >= 0 AND mixed_tokens >= 0").select("source")
+
+
+def p9_segments(spark: SparkSession, root: str) -> DataFrame:
+    return segments(_table(spark, root, "documents"))
+
+
+def p9_documents(spark: SparkSession, root: str) -> DataFrame:
+    return document_languages(segments(_table(spark, root, "documents")))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return mislabelled(segments(_table(spark, root, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found, p8_schedule, p8_report, p8_found, p9_segments, p9_documents, p9_found)}
 ORACLE: dict[str, str] = {}

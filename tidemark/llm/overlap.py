@@ -3,7 +3,7 @@
 Texts become word vectors weighted by inverse document frequency over all texts, words hashed to a fixed number of
 terms. With terms in one global order, rarest first, a pair at cosine t or more shares a term among the leading terms of
 both, up to where the norm of the rest falls below t. Only these terms are listed; a shared term survives the join if the
-product of both residual norms from it on reaches t. Then a maximum-weight bound over longer leading parts, which
+product of both residual norms from it on reaches t. Then a bound of the shared weights over longer leading parts, which
 postings carry along, discards most pairs before any text is fetched, and the exact dot product decides. Texts alike but
 for formatting are one text throughout, so a text with very many copies is joined once.
 """
@@ -81,11 +81,11 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pair // TERMS, pair % TERMS
 
 
-_POSTING = "term int, key binary, n_words int, norm_left float, lead array<int>, lead_left float, most float"
+_POSTING = "term int, key binary, n_words int, norm_left float, lead array<int>, lead_left float, norm float"
 
 
 def _postings(weights: Weights, least: float, lead: float):
-    names = ["term", "key", "n_words", "norm_left", "lead", "lead_left", "most"]
+    names = ["term", "key", "n_words", "norm_left", "lead", "lead_left", "norm"]
     slack = 1e-5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +105,16 @@ def _postings(weights: Weights, least: float, lead: float):
             left = np.sqrt(np.maximum(0, 1 - before))
             use = (left >= least - slack) & weights.shared[term]
             longer = left >= lead
-            lead_at = [term[s : s + k].astype(np.int32) for s, k in zip(start, np.bincount(doc, longer, minlength=b.num_rows).astype(int))]
+            coded = (term << 8 | np.ceil(w * 8).astype(np.int64).clip(0, 255)).astype(np.int32)
+            lead_at = [coded[s : s + k] for s, k in zip(start, np.bincount(doc, longer, minlength=b.num_rows).astype(int))]
             lead_n = np.array([len(x) for x in lead_at])
             after = np.array([left[s + k] if k < n else 0.0 for s, k, n in zip(start, lead_n, size)])
-            most = np.array([w[s] / np.sqrt(q) if n else 0.0 for s, n, q in zip(start, size, sq)])
+            norm = np.sqrt(sq)
             n_words = np.array([t.count(" ") + 1 if t else 0 for t in b.column("words").to_pylist()])
             keys, d = b.column("key"), doc[use]
             for a in range(0, len(d), 8192):
                 part = d[a : a + 8192]
-                yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(left[use][a : a + 8192].astype(np.float32)), pa.array([lead_at[i] for i in part], pa.list_(pa.int32())), pa.array(after[part].astype(np.float32)), pa.array(most[part].astype(np.float32))], names=names)
+                yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(left[use][a : a + 8192].astype(np.float32)), pa.array([lead_at[i] for i in part], pa.list_(pa.int32())), pa.array(after[part].astype(np.float32)), pa.array(norm[part].astype(np.float32))], names=names)
 
     return run
 
@@ -158,7 +159,7 @@ def _decided(weights: Weights, least: float, edits: float):
     return run
 
 
-def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.5, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.4, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of held-out splits that also stand, exactly or almost, in the fit split.
 
     Returns ``members`` (id, split, via, key), one row per complaint, split and submitted_via, the ``texts`` (key, words,
@@ -179,7 +180,9 @@ def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, le
     p, q = docs.where("in_eval").mapInArrow(make, _POSTING).alias("p"), docs.where("in_fit").mapInArrow(make, _POSTING).alias("q")
     near = F.col("p.norm_left") * F.col("q.norm_left") >= least - 1e-4
     size = F.least("p.n_words", "q.n_words") >= (1 - edits) * F.greatest("p.n_words", "q.n_words")
-    bound = F.size(F.array_intersect("p.lead", "q.lead")) * F.col("p.most") * F.col("q.most") + F.greatest("p.lead_left", "q.lead_left") >= least - 1e-4
+    # The lower 8 bits of a leading term are its weight times 8, rounded up: a bound of what the shared ones add to the product.
+    shared = F.aggregate(F.array_intersect("p.lead", "q.lead"), F.lit(0).cast("long"), lambda a, x: a + F.pow(x.bitwiseAND(255), F.lit(2)).cast("long"))
+    bound = shared / (64 * F.col("p.norm") * F.col("q.norm")) + F.greatest("p.lead_left", "q.lead_left") >= least - 1e-4
     pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & near & size & (F.col("p.key") != F.col("q.key")) & bound)
     pairs = pairs.select(F.col("p.key").alias("key"), F.col("q.key").alias("other")).distinct()
     full = pairs.join(docs.select("key", "words"), "key").join(docs.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.sieve import bitmap, slot
 from tidemark.session import staged
 
 TERMS = 1 << 20  # bound of the document frequency table, whatever the vocabulary
@@ -29,11 +30,29 @@ def words(text: str) -> list[str]:
     return [w for w in ("".join(filter(str.isalnum, part)) for part in text.casefold().replace("—", " ").replace("–", " ").split()) if w]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        said = [" ".join(words(t)) for t in b.column("text").to_pylist()]
-        keys = pa.array([hashlib.md5(s.encode()).digest() for s in said], pa.binary())
-        yield pa.record_batch([b.column("id"), b.column("split"), b.column("via"), keys, pa.array(said, pa.string())], names=["id", "split", "via", "key", "words"])
+def _keyed(wanted: np.ndarray):
+    packed = np.packbits(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            b = b.filter(pa.array(bits[b.column("slot").to_numpy()]))
+            said = [" ".join(words(t)) for t in b.column("text").to_pylist()]
+            keys = pa.array([hashlib.md5(s.encode()).digest() for s in said], pa.binary())
+            yield pa.record_batch([b.column("id"), b.column("via"), keys, pa.array(said, pa.string())], names=["id", "via", "key", "words"])
+
+    return run
+
+
+def _kept(wanted: np.ndarray):
+    packed = np.packbits(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(bits[b.column("slot").to_numpy()])).select(["doc", "words"])
+
+    return run
 
 
 class Weights:
@@ -81,11 +100,11 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pair // TERMS, pair % TERMS
 
 
-_POSTING = "term int, key binary, n_words int, norm_left float, lead array<int>, lead_left float, norm float"
+_POSTING = "term int, doc long, n_words int, norm_left float, lead array<int>, lead_left float, norm float"
 
 
 def _postings(weights: Weights, least: float, lead: float):
-    names = ["term", "key", "n_words", "norm_left", "lead", "lead_left", "norm"]
+    names = ["term", "doc", "n_words", "norm_left", "lead", "lead_left", "norm"]
     slack = 1e-5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +130,7 @@ def _postings(weights: Weights, least: float, lead: float):
             after = np.array([left[s + k] if k < n else 0.0 for s, k, n in zip(start, lead_n, size)])
             norm = np.sqrt(sq)
             n_words = np.array([t.count(" ") + 1 if t else 0 for t in b.column("words").to_pylist()])
-            keys, d = b.column("key"), doc[use]
+            keys, d = b.column("doc"), doc[use]
             for a in range(0, len(d), 8192):
                 part = d[a : a + 8192]
                 yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(left[use][a : a + 8192].astype(np.float32)), pa.array([lead_at[i] for i in part], pa.list_(pa.int32())), pa.array(after[part].astype(np.float32)), pa.array(norm[part].astype(np.float32))], names=names)
@@ -154,27 +173,29 @@ def _decided(weights: Weights, least: float, edits: float):
                 if dot >= least - 1e-5 and word_edits(p, q) <= edits * max(len(p), len(q)):
                     keep.append(i), cosines.append(dot)
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column("key").take(at), b.column("other").take(at), pa.array(cosines, pa.float64())], names=["key", "other", "cosine"])
+            yield pa.record_batch([b.column("doc").take(at), b.column("other").take(at), pa.array(cosines, pa.float64())], names=["doc", "other", "cosine"])
 
     return run
 
 
-def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.4, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.45, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of held-out splits that also stand, exactly or almost, in the fit split.
 
-    Returns ``members`` (id, split, via, key), one row per complaint, split and submitted_via, the ``texts`` (key, words,
-    in_fit, in_eval) and the ``links`` (key, other, cosine) between different texts: ``key`` of a held-out text,
+    Returns ``members`` (id, split, via, key), one row per complaint, split and submitted_via, the ``texts`` (key, doc,
+    words, in_fit, in_eval) and the ``links`` (doc, other, cosine) between different texts: ``doc`` of a held-out text,
     ``other`` of a fit text, cosine at least ``least`` and at most ``edits`` of the words changed, added or dropped (half
     as many again as counted as the same, as nothing lies near that limit). A text on both sides needs no link.
 
     Null ids, narratives and splits, other splits, and ids that ``texts`` lacks take no part; repeated rows count once;
     a text without letters or digits matches its like only; empty tables give empty results.
     """
-    ids = manifest.where(F.col("sample_split").isin(fit, *held_out)).select(F.col("complaint_id").alias("id"), F.col("sample_split").alias("split")).distinct()
-    said = texts.where("complaint_id IS NOT NULL AND narrative IS NOT NULL").select(F.col("complaint_id").alias("id"), F.col("narrative").alias("text"), F.col("submitted_via").alias("via"))
-    rows = staged(said.join(ids, "id").select("id", "split", "via", "text").mapInArrow(_keyed, "id string, split string, via string, key binary, words string"))
-    sides = rows.groupBy("key").agg(F.max(F.col("split") == fit).alias("in_fit"), F.max(F.col("split") != fit).alias("in_eval"), F.first("words").alias("words"))
-    docs = staged(sides)
+    ids = manifest.where(F.col("sample_split").isin(fit, *held_out) & F.col("complaint_id").isNotNull()).select(F.col("complaint_id").alias("id"), F.col("sample_split").alias("split")).distinct()
+    said = texts.where("complaint_id IS NOT NULL AND narrative IS NOT NULL").select(F.col("complaint_id").alias("id"), F.col("submitted_via").alias("via"), slot(F.col("complaint_id")).alias("slot"), F.col("narrative").alias("text"))
+    # Texts are written once, straight from the scan; what follows moves their ids until one text per key is left.
+    rows = staged(said.mapInArrow(_keyed(bitmap(ids, "id")), "id string, via string, key binary, words string").withColumn("rid", F.monotonically_increasing_id()))
+    members = rows.select("id", "via", "key", "rid").join(ids, "id")
+    sides = members.groupBy("key").agg(F.max(F.col("split") == fit).alias("in_fit"), F.max(F.col("split") != fit).alias("in_eval"), F.min("rid").alias("doc"))
+    docs = staged(sides.join(rows.select(F.col("rid").alias("doc"), "words"), "doc"))
     weights = Weights(docs)
     make = _postings(weights, least, lead)
     p, q = docs.where("in_eval").mapInArrow(make, _POSTING).alias("p"), docs.where("in_fit").mapInArrow(make, _POSTING).alias("q")
@@ -183,16 +204,18 @@ def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, le
     # The lower 8 bits of a leading term are its weight times 8, rounded up: a bound of what the shared ones add to the product.
     shared = F.aggregate(F.array_intersect("p.lead", "q.lead"), F.lit(0).cast("long"), lambda a, x: a + F.pow(x.bitwiseAND(255), F.lit(2)).cast("long"))
     bound = shared / (64 * F.col("p.norm") * F.col("q.norm")) + F.greatest("p.lead_left", "q.lead_left") >= least - 1e-4
-    pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & near & size & (F.col("p.key") != F.col("q.key")) & bound)
-    pairs = pairs.select(F.col("p.key").alias("key"), F.col("q.key").alias("other")).distinct()
-    full = pairs.join(docs.select("key", "words"), "key").join(docs.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")
-    links = full.select("key", "other", "words", "other_words").mapInArrow(_decided(weights, least, edits), "key binary, other binary, cosine double")
-    return rows.select("id", "split", "via", "key").distinct(), docs, links
+    pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & near & size & (F.col("p.doc") != F.col("q.doc")) & bound)
+    pairs = staged(pairs.select(F.col("p.doc").alias("doc"), F.col("q.doc").alias("other")).distinct())
+    seen = bitmap(pairs.select("doc").union(pairs.select("other")), "doc")
+    said = docs.select("doc", "words", slot(F.col("doc")).alias("slot")).mapInArrow(_kept(seen), "doc long, words string")
+    full = pairs.join(said, "doc").join(said.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other")
+    links = full.select("doc", "other", "words", "other_words").mapInArrow(_decided(weights, least, edits), "doc long, other long, cosine double")
+    return members.select("id", "split", "via", "key").distinct(), docs, links
 
 
 def overlapping(members: DataFrame, docs: DataFrame, links: DataFrame, fit: str = "fit") -> DataFrame:
     """One row per held-out complaint, split and submitted_via that stands in the fit split: id, split, via, key, is_exact, n_links (other fit texts)."""
-    n = links.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    n = links.groupBy("doc").agg(F.count(F.lit(1)).alias("n_links")).join(docs.select("doc", "key"), "doc").select("key", "n_links")
     both = docs.where("in_fit AND in_eval").select("key", F.lit(True).alias("is_exact"))
     hit = n.join(both, "key", "full").select("key", F.coalesce("is_exact", F.lit(False)).alias("is_exact"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return members.where(F.col("split") != fit).join(hit, "key").select("id", "split", "via", "key", "is_exact", "n_links")

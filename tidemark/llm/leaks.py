@@ -71,18 +71,16 @@ class Passages:
         self.least = np.maximum(q // 2, share * chars - 2 * (q - 1) - (share * n / edit_every) * (mean + q - 1)).astype(np.int64)
 
 
-def _aligned(item: list[str], text: list[str], i0: int, i1: int, j0: int, j1: int, band: int) -> tuple[int, int, int, int]:
-    """The best local alignment of item[i0:i1] with text[j0:j1] near the diagonal: (item start, item end, text start, text end).
+def _aligned(item: list[str], text: list[str], i0: int, i1: int, offset: int, band: int) -> tuple[int, int, int, int]:
+    """The best local alignment of item[i0:i1] with the words of the text ``offset`` further on, ``band`` words to either side: (item start, item end, text start, text end).
 
     A matching word scores 1, an edit -3: stretches of one edit in ten words keep growing.
     """
-    best, span = 0, (i0, i0, j0, j0)
+    best, span = 0, (i0, i0, i0 + offset, i0 + offset)
     above: dict[int, tuple[int, int, int]] = {}
-    slope = (j1 - j0) / max(1, i1 - i0)
     for i in range(i0, i1):
-        middle = j0 + round((i - i0) * slope)
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(j0, middle - band), min(j1, middle + band + 1)):
+        for j in range(max(0, i + offset - band), min(len(text), i + offset + band + 1)):
             s, a, b = above.get(j - 1, (0, i, j))
             cell = (s + 1, a, b) if item[i] == text[j] else (s - 3, a, b)
             for other in (above.get(j), row.get(j - 1)):
@@ -106,12 +104,38 @@ def _covered(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
     return best
 
 
+def _windows(band: np.ndarray, least: int, enough: int) -> list[int]:
+    """Windows of two bands next to each other whose q-grams, with those of a second window, reach ``least``; none if no two do.
+
+    Windows overlap by a band, so that a stretch that drifts by up to a band's width lies in one of them.
+    """
+    bands, counts = np.unique(band, return_counts=True)
+    n = dict(zip(bands.tolist(), counts.tolist()))
+    size = {w: n.get(w, 0) + n.get(w + 1, 0) for w in {*n, *(b - 1 for b in n)}}
+    ranked = sorted(size, key=lambda w: (-size[w], w))
+    best = size[ranked[0]]
+    if 2 * best < least:
+        return []
+    second = max((size[w] for w in ranked if abs(w - ranked[0]) > 1), default=0)
+    near = max((n.get(ranked[0] + k, 0) for k in (-1, 2)), default=0)
+    if best + max(second, near) < least:
+        return []
+    chosen, covered = [], set()
+    for w in ranked:
+        if size[w] < max(enough, least - best) and chosen:
+            break
+        if sum(n.get(b, 0) for b in (w, w + 1) if b not in covered) >= enough:
+            chosen.append(w)
+            covered |= {w, w + 1}
+    return chosen
+
+
 def _scan(block: Passages, share: float, width: int, slack: float):
     q, grams = block.q, _Grams(block.q)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_stretches", pa.int32()), ("coverage", pa.float64())])
 
-    def regions(h: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Per passage that passes the filter: (first and last passage position, first and last text position) of its regions."""
+    def regions(h: np.ndarray) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """Per passage that passes the filter the shared q-grams of its regions: (passage positions, text positions)."""
         at = np.flatnonzero(block.seen[h >> np.uint64(64 - _BITS)])
         if not len(at):
             return {}
@@ -128,18 +152,17 @@ def _scan(block: Passages, share: float, width: int, slack: float):
             return {}
         keep = maybe[item]
         pos, item, ipos = pos[keep], item[keep], ipos[keep]
-        diagonal = pos - ipos + (1 << 30)
-        out: dict[int, list[tuple[int, int, int, int]]] = {}
-        for shift in (0, width // 2):
-            band = (diagonal + shift) // width
-            order = np.lexsort((band, item))
-            a, b = item[order], band[order]
-            cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            size = np.diff(np.append(cut, len(a)))
-            for c, s in zip(cut[size >= q // 2], size[size >= q // 2]):
-                part = order[c : c + s]
-                out.setdefault(int(a[c]), []).append((int(ipos[part].min()), int(ipos[part].max()), int(pos[part].min()), int(pos[part].max()), int(s)))
-        return {i: [r[:4] for r in rs] for i, rs in out.items() if sum(r[4] for r in rs) >= block.least[i]}
+        band = (pos - ipos + (1 << 30)) // width
+        order = np.argsort(item, kind="stable")
+        pos, item, ipos, band = pos[order], item[order], ipos[order], band[order]
+        cut = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for a, b in zip(cut, np.append(cut[1:], len(item))):
+            got = _windows(band[a:b], int(block.least[item[a]]), q // 2)
+            for w in got:
+                in_w = (band[a:b] == w) | (band[a:b] == w + 1)
+                out.setdefault(int(item[a]), []).append((ipos[a:b][in_w], pos[a:b][in_w]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,16 +173,19 @@ def _scan(block: Passages, share: float, width: int, slack: float):
                 if not got:
                     continue
                 starts = np.cumsum([0] + [len(w) for w in ws[:-1]])
-                for i, rs in got.items():
-                    item, spans = block.words[i], []
-                    for a0, a1, t0, t1 in rs:
-                        i0, i1 = np.searchsorted(block.starts[i], [a0, a1 + q], "right")
-                        j0, j1 = np.searchsorted(starts, [t0, t1 + q], "right")
-                        reach = min(4, int(i0) - 1, int(j0) - 1)
-                        spans.append(_aligned(item, ws, int(i0) - 1 - reach, min(len(item), int(i1) + 4), int(j0) - 1 - reach, min(len(ws), int(j1) + 4), 8 + (int(i1) - int(i0)) // 10))
+                for i_, rs in got.items():
+                    item, spans = block.words[i_], []
+                    for at, in_text in rs:
+                        i = np.searchsorted(block.starts[i_], at, "right") - 1
+                        off = np.searchsorted(starts, in_text, "right") - 1 - i
+                        values, n = np.unique(off, return_counts=True)
+                        offset = int(values[n.argmax()])  # the diagonal, in words, of most shared q-grams
+                        band = 8 + len(item) // 10
+                        i = i[np.abs(off - offset) <= band]
+                        spans.append(_aligned(item, ws, max(0, int(i.min()) - 8), min(len(item), int(i.max()) + 14), offset, band))
                     covered, n = _covered(list(dict.fromkeys(spans)))
                     if covered >= (share - slack) * len(item):
-                        found.append((doc, block.ids[i], n, covered / len(item)))
+                        found.append((doc, block.ids[i_], n, covered / len(item)))
             yield pa.record_batch([pa.array([f[k] for f in found], t.type) for k, t in enumerate(schema)], schema=schema)
 
     return run

@@ -178,11 +178,17 @@ def _scan(block: Passages, share: float, width: int, slack: float):
                     for at, in_text in rs:
                         i = np.searchsorted(block.starts[i_], at, "right") - 1
                         off = np.searchsorted(starts, in_text, "right") - 1 - i
-                        values, n = np.unique(off, return_counts=True)
-                        offset = int(values[n.argmax()])  # the diagonal, in words, of most shared q-grams
                         band = 8 + len(item) // 10
-                        i = i[np.abs(off - offset) <= band]
-                        spans.append(_aligned(item, ws, max(0, int(i.min()) - 8), min(len(item), int(i.max()) + 14), offset, band))
+                        while len(i) >= q // 2:  # a window may hold both stretches
+                            values, n = np.unique(off, return_counts=True)
+                            offset = int(values[n.argmax()])  # the diagonal, in words, of most shared q-grams left
+                            mine = np.abs(off - offset) <= band
+                            span = _aligned(item, ws, max(0, int(i[mine].min()) - 8), min(len(item), int(i[mine].max()) + 14), offset, band)
+                            spans.append(span)
+                            rest = (i < span[0]) | (i >= span[1]) | ~mine
+                            if rest.all():
+                                break
+                            i, off = i[rest], off[rest]
                     covered, n = _covered(list(dict.fromkeys(spans)))
                     if covered >= (share - slack) * len(item):
                         found.append((doc, block.ids[i_], n, covered / len(item)))

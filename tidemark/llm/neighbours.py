@@ -31,7 +31,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n: int, lists: int | None, parts: int, words: int, block_rows: int):
         # Beyond a million rows the lists, and the lists searched, grow with the square root of the rows.
-        self.lists = lists or max(1, min(64 if n <= 1_000_000 else int(0.064 * math.sqrt(n)), len(sample) // 16))
+        self.lists = lists or max(1, min(64 if n <= 1_000_000 else int(0.064 * math.sqrt(n)), len(sample) // 64))
         self.coarse = kmeans(sample, self.lists, spherical=True, seed=1)
         self.lists = len(self.coarse)
         near = (sample @ self.coarse.T).argmax(1)

@@ -25,6 +25,9 @@ from tidemark.session import staged
 TERMS = 1 << 20  # bound of the document frequency table, whatever the vocabulary
 
 
+LEAD_TERMS = 64  # terms a posting carries for the bound at most; a shorter leading part makes the bound looser, not wrong
+
+
 def words(text: str) -> list[str]:
     """Case-folded words between white space or dashes, without their punctuation."""
     return [w for w in ("".join(filter(str.isalnum, part)) for part in text.casefold().replace("—", " ").replace("–", " ").split()) if w]
@@ -125,7 +128,7 @@ def _postings(weights: Weights, least: float, lead: float):
             use = (left >= least - slack) & weights.shared[term]
             longer = left >= lead
             coded = (term << 8 | np.ceil(w * 8).astype(np.int64).clip(0, 255)).astype(np.int32)
-            lead_at = [coded[s : s + k] for s, k in zip(start, np.bincount(doc, longer, minlength=b.num_rows).astype(int))]
+            lead_at = [coded[s : s + k] for s, k in zip(start, np.minimum(np.bincount(doc, longer, minlength=b.num_rows).astype(int), LEAD_TERMS))]
             lead_n = np.array([len(x) for x in lead_at])
             after = np.array([left[s + k] if k < n else 0.0 for s, k, n in zip(start, lead_n, size)])
             norm = np.sqrt(sq)

@@ -1,6 +1,6 @@
 import random
 
-from tidemark.llm.leaks import _aligned, _covered, leaked_items
+from tidemark.llm.leaks import _aligned, _covered, _places, leaked_items
 
 D = "doc_id long, text string, item_id string"
 I = "item_id long, passage string, doc_id string"
@@ -49,6 +49,6 @@ def test_empty(spark):
 
 def test_alignment_and_cover():
     item = list("abcdefghij")
-    assert _aligned(item, list("xxabcdefghijyy"), 0, 10, 2, 3) == (0, 10, 2, 12)
+    assert _aligned(item, _places(list("xxabcdefghijyy")), 0, 10, 2, 3) == (0, 10, 2, 12)
     assert _covered([(0, 4, 10, 14), (4, 9, 20, 25), (6, 9, 0, 3)]) == (9, 2)
     assert _covered([]) == (0, 1)

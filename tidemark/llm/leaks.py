@@ -71,25 +71,42 @@ class Passages:
         self.least = np.maximum(q // 2, share * chars - 2 * (q - 1) - (share * n / edit_every) * (mean + q - 1)).astype(np.int64)
 
 
-def _aligned(item: list[str], text: list[str], i0: int, i1: int, offset: int, band: int) -> tuple[int, int, int, int]:
+def _places(ws: list[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for j, w in enumerate(ws):
+        out.setdefault(w, []).append(j)
+    return out
+
+
+def _aligned(item: list[str], places: dict[str, list[int]], i0: int, i1: int, offset: int, band: int) -> tuple[int, int, int, int]:
     """The best local alignment of item[i0:i1] with the words of the text ``offset`` further on, ``band`` words to either side: (item start, item end, text start, text end).
 
-    A matching word scores 1, an edit -3: stretches of one edit in ten words keep growing.
+    A matching word scores 1, an edit -3: stretches of one edit in ten words keep growing. ``places`` are the positions
+    of each word in the text; only cells that match or follow a cell with a score above 0 are visited.
     """
     best, span = 0, (i0, i0, i0 + offset, i0 + offset)
     above: dict[int, tuple[int, int, int]] = {}
     for i in range(i0, i1):
+        low, high = i + offset - band, i + offset + band
+        match = {j for j in places.get(item[i], ()) if low <= j <= high}
+        todo = match.union(above, (j + 1 for j in above))
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + offset - band), min(len(text), i + offset + band + 1)):
-            s, a, b = above.get(j - 1, (0, i, j))
-            cell = (s + 1, a, b) if item[i] == text[j] else (s - 3, a, b)
-            for other in (above.get(j), row.get(j - 1)):
-                if other and other[0] - 3 > cell[0]:
-                    cell = (other[0] - 3, other[1], other[2])
-            if cell[0] > 0:
+        for first in sorted(todo):
+            j = first
+            while low <= j <= high:
+                s, a, b = above.get(j - 1, (0, i, j))
+                cell = (s + 1, a, b) if j in match else (s - 3, a, b)
+                for other in (above.get(j), row.get(j - 1)):
+                    if other and other[0] - 3 > cell[0]:
+                        cell = (other[0] - 3, other[1], other[2])
+                if cell[0] <= 0:
+                    break
                 row[j] = cell
                 if cell[0] > best:
                     best, span = cell[0], (cell[1], i + 1, cell[2], j + 1)
+                j += 1
+                if j in todo or cell[0] <= 3:
+                    break
         above = row
     return span
 
@@ -172,7 +189,7 @@ def _scan(block: Passages, share: float, width: int, slack: float):
                 got = regions(grams("".join(ws)))
                 if not got:
                     continue
-                starts = np.cumsum([0] + [len(w) for w in ws[:-1]])
+                starts, places = np.cumsum([0] + [len(w) for w in ws[:-1]]), _places(ws)
                 for i_, rs in got.items():
                     item, spans = block.words[i_], []
                     for at, in_text in rs:
@@ -183,7 +200,7 @@ def _scan(block: Passages, share: float, width: int, slack: float):
                             values, n = np.unique(off, return_counts=True)
                             offset = int(values[n.argmax()])  # the diagonal, in words, of most shared q-grams left
                             mine = np.abs(off - offset) <= band
-                            span = _aligned(item, ws, max(0, int(i[mine].min()) - 8), min(len(item), int(i[mine].max()) + 14), offset, band)
+                            span = _aligned(item, places, max(0, int(i[mine].min()) - 8), min(len(item), int(i[mine].max()) + 14), offset, band)
                             spans.append(span)
                             rest = (i < span[0]) | (i >= span[1]) | ~mine
                             if rest.all():

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.plans import prep, profile, scores, series, training_core
+from tidemark.plans import extra, prep, profile, scores, series, training_core
 
 ROOT = "/root/testdata/sf0.001"
-MODULES = (training_core, prep, series, profile, scores)
+MODULES = (training_core, prep, series, profile, scores, extra)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES if n in m.ORACLE]
 
 
@@ -27,9 +27,11 @@ def duck():
 def plain(v):
     if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return None
-    if isinstance(v, (float, np.floating)):
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    if isinstance(v, (int, float, np.number)):  # a column of whole numbers with nulls may come as floats
         return round(float(v), 5) + 0.0
-    return str(v)[:10] if hasattr(v, "year") else v.item() if isinstance(v, np.generic) else v
+    return str(v)[:10] if hasattr(v, "year") else v
 
 
 def rows(df):

@@ -24,7 +24,7 @@ def linear_classes(fit: DataFrame, df: DataFrame, label: str, penalty: float = 1
     """``df`` (with features) and ``predicted``, by one linear classifier per class against the rest."""
     index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip").fit(fit.where(F.col(label).isNotNull()))
     one = LogisticRegression(featuresCol="features", labelCol="_y", regParam=penalty, maxIter=rounds)
-    model = OneVsRest(classifier=one, labelCol="_y", featuresCol="features", predictionCol="_p").fit(index.transform(fit.where(F.col(label).isNotNull())))
+    model = OneVsRest(classifier=one, labelCol="_y", featuresCol="features", predictionCol="_p", parallelism=4).fit(index.transform(fit.where(F.col(label).isNotNull())))
     names = F.array(*[F.lit(x) for x in index.labels])
     return model.transform(df).withColumn("predicted", F.get(names, F.col("_p").cast("int"))).drop("_p", "rawPrediction")
 

@@ -160,20 +160,27 @@ def word_edits(a: list[str], b: list[str]) -> int:
     return score
 
 
-def _decided(weights: Weights, least: float, edits: float):
-    def unit(text: str) -> tuple[dict[int, float], list[str]]:
-        ws = text.split()
-        v = {t: float(weights.idf[t]) for t in {zlib.crc32(w.encode()) % TERMS for w in ws}}
-        norm = sum(x * x for x in v.values()) ** 0.5 or 1.0
-        return {t: x / norm for t, x in v.items()}, ws
-
+def _decided(weights: Weights, least: float, edits: float, keep_texts: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[set[int], float, list[str]]] = {}
+        square = (weights.idf.astype(np.float64) ** 2).tolist()
+
+        def unit(doc: int, text: str) -> tuple[set[int], float, list[str]]:
+            got = seen.get(doc)
+            if got is None:
+                if len(seen) >= keep_texts:
+                    seen.clear()
+                ws = text.split()
+                terms = {zlib.crc32(w.encode()) % TERMS for w in set(ws)}
+                got = seen[doc] = (terms, sum(map(square.__getitem__, terms)) ** 0.5 or 1.0, ws)
+            return got
+
         for b in batches:
             keep, cosines = [], []
-            for i, (x, y) in enumerate(zip(b.column("words").to_pylist(), b.column("other_words").to_pylist())):
-                (u, p), (v, q) = unit(x), unit(y)
-                dot = sum(c * v.get(t, 0.0) for t, c in u.items())
-                if dot >= least - 1e-5 and word_edits(p, q) <= edits * max(len(p), len(q)):
+            for i, (doc, other, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "other", "words", "other_words")))):
+                (u, p, ws), (v, q, vs) = unit(doc, x), unit(other, y)
+                dot = sum(map(square.__getitem__, u & v)) / (p * q)
+                if dot >= least - 1e-5 and word_edits(ws, vs) <= edits * max(len(ws), len(vs)):
                     keep.append(i), cosines.append(dot)
             at = pa.array(keep, pa.int64())
             yield pa.record_batch([b.column("doc").take(at), b.column("other").take(at), pa.array(cosines, pa.float64())], names=["doc", "other", "cosine"])

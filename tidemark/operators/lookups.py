@@ -50,7 +50,7 @@ def rate_with_default(df: DataFrame, group: str, value: Column, fit: Column) ->
     return per.join(F.broadcast(whole)).select(group, "n_rows", F.round(F.coalesce("_mean", "_all"), 6).alias("rate"))
 
 
-def replaced(old: DataFrame, new: DataFrame, period: str) -> DataFrame:
+def replaced(old: DataFrame, new: DataFrame, period: str | list[str]) -> DataFrame:
     """``old`` without the periods that ``new`` has, and ``new``, with a ``source`` tag; both have the same columns."""
     kept = old.join(new.select(period).distinct(), period, "left_anti").withColumn("source", F.lit("frozen"))
     return kept.unionByName(new.withColumn("source", F.lit("new")))

@@ -74,11 +74,11 @@ def tx03_stacked_features(spark, root):
     return x.select("embedding_row", F.size("x").cast("long").alias("size"), F.element_at("x", -1).alias("last_value"))
 
 
-@query(R._CENTRES + ", t AS (SELECT part, quantile_cont(distance, 0.9) AS p90 FROM a WHERE vec_id % 2 = 0 GROUP BY 1) SELECT a.part, count(*) AS n, count(*) FILTER (WHERE distance <= p90) AS n_accepted FROM a LEFT JOIN t USING (part) WHERE vec_id % 2 = 1 GROUP BY a.part")
+@query(R._CENTRES + ", t AS (SELECT part, quantile_cont(distance, 0.9) AS p90 FROM a WHERE part = label GROUP BY 1) SELECT a.part, count(*) AS n, count(*) FILTER (WHERE distance <= p90) AS n_accepted FROM a LEFT JOIN t USING (part) GROUP BY a.part")
 def ml17_accepted_assignments(spark, root):
     a = R._assigned(spark, root)
-    limit = a.where("vec_id % 2 = 0").groupBy("part").agg(F.percentile("distance", F.lit(0.9)).alias("p90"))
-    return a.where("vec_id % 2 = 1").join(F.broadcast(limit), "part", "left").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") <= F.col("p90")).alias("n_accepted"))
+    limit = a.where("part = label").groupBy("part").agg(F.percentile("distance", F.lit(0.9)).alias("p90"))
+    return a.join(F.broadcast(limit), "part", "left").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") <= F.col("p90")).alias("n_accepted"))
 
 
 _LIMITS = (1.0, 2.0, 3.0, 4.0, 6.0)

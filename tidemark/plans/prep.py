@@ -277,18 +277,19 @@ def jn13_optional_hit(spark, root):
 
 
 @query("""SELECT m.embedding_row, COALESCE(c.v, m.embedding_row * 1.0) AS value, c.v IS NOT NULL AS was_cached FROM (SELECT DISTINCT embedding_row FROM sample_manifest WHERE embedding_row IS NOT NULL) m
-LEFT JOIN (SELECT embedding_row, max(CAST(embedding[1] AS DOUBLE)) AS v FROM fit_embeddings WHERE embedding_row % 3 = 0 AND embedding IS NOT NULL GROUP BY 1) c USING (embedding_row)""")
+LEFT JOIN (SELECT embedding_row, max(CAST(embedding[1] AS DOUBLE)) AS v FROM fit_embeddings WHERE embedding IS NOT NULL GROUP BY 1) c USING (embedding_row)""")
 def jn14_cached_or_new(spark, root):
-    cached = table(spark, root, "fit_embeddings").where("embedding_row % 3 = 0 AND embedding IS NOT NULL").groupBy("embedding_row").agg(F.max(F.get("embedding", F.lit(0)).cast("double")).alias("v"))
+    cached = table(spark, root, "fit_embeddings").where("embedding IS NOT NULL").groupBy("embedding_row").agg(F.max(F.get("embedding", F.lit(0)).cast("double")).alias("v"))
     m = table(spark, root, "sample_manifest").where("embedding_row IS NOT NULL").select("embedding_row").distinct()
     return m.join(cached, "embedding_row", "left").select("embedding_row", F.coalesce("v", F.col("embedding_row").cast("double")).alias("value"), F.col("v").isNotNull().alias("was_cached"))
 
 
-@query("""WITH new AS (SELECT week, cluster_id, CAST(sum(COALESCE(complaint_count, 0)) AS BIGINT) AS n FROM weekly_panel WHERE score_run = 2 GROUP BY ALL),
-old AS (SELECT week, cluster_id, CAST(sum(COALESCE(complaint_count, 0)) AS BIGINT) AS n FROM weekly_panel WHERE score_run = 1 GROUP BY ALL)
-SELECT week, cluster_id, n, 'frozen' AS source FROM old WHERE week NOT IN (SELECT week FROM new) UNION ALL SELECT week, cluster_id, n, 'new' FROM new""")
+@query("""WITH new AS (SELECT score_run, date_trunc('week', received_day)::DATE AS week, cluster_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT score_run, received_day, cluster_id, max(COALESCE(complaint_count, 0)) AS n FROM daily_panel GROUP BY ALL) GROUP BY ALL),
+old AS (SELECT score_run, week, cluster_id, max(COALESCE(complaint_count, 0)) AS n FROM weekly_panel GROUP BY ALL)
+SELECT score_run, week, cluster_id, n, 'frozen' AS source FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.score_run = old.score_run AND new.week = old.week) UNION ALL SELECT score_run, week, cluster_id, n, 'new' FROM new""")
 def jn15_replaced_periods(spark, root):
-    def run(k):
-        return table(spark, root, "weekly_panel").where(F.col("score_run") == k).groupBy("week", "cluster_id").agg(F.sum(F.coalesce("complaint_count", F.lit(0))).alias("n"))
-
-    return L.replaced(run(1), run(2), "week")
+    n = F.max(F.coalesce("complaint_count", F.lit(0))).alias("n")
+    old = table(spark, root, "weekly_panel").groupBy("score_run", "week", "cluster_id").agg(n)
+    days = table(spark, root, "daily_panel").groupBy("score_run", "received_day", "cluster_id").agg(n)
+    new = days.groupBy("score_run", F.date_trunc("week", "received_day").cast("date").alias("week"), "cluster_id").agg(F.sum("n").alias("n"))
+    return L.replaced(old, new, ["score_run", "week"])

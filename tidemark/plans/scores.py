@@ -149,11 +149,11 @@ def mt09_skill(spark, root):
     return _intervals(spark, root).groupBy("score_run").agg(F.round(1 - F.avg("wis") / F.avg("baseline"), 6).alias("skill"))
 
 
-@query(_WIS + """, s AS (SELECT period, avg(wis) AS a, avg(baseline) AS b FROM i WHERE score_run = 1 GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY period) AS i, a, b FROM s), k AS (SELECT count(*) AS n FROM r),
+@query(_WIS + """, s AS (SELECT period, avg(wis) AS a, avg(baseline) AS b FROM i GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY period) AS i, a, b FROM s), k AS (SELECT count(*) AS n FROM r),
 p AS (SELECT d.draw, CAST(floor(((d.draw * 7919 + l.place * 104729 + 5) * 2654435761) % 4294967296 / 65536) AS BIGINT) % k.n + 1 AS i FROM (SELECT unnest(range(500)) AS draw) d, k, LATERAL (SELECT unnest(range(1, k.n + 1)) AS place) l),
 dd AS (SELECT draw, avg(a - b) AS d FROM p JOIN r USING (i) GROUP BY draw) SELECT round(quantile_cont(d, 0.025), 6) AS p025, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.975), 6) AS p975 FROM dd""")
 def mt10_paired_resampling(spark, root):
-    sums = _intervals(spark, root).where("score_run = 1").groupBy("period").agg(F.avg("wis").alias("a"), F.avg("baseline").alias("b"))
+    sums = _intervals(spark, root).groupBy("period").agg(F.avg("wis").alias("a"), F.avg("baseline").alias("b"))
     return M.paired_resampling(sums, "period", "a", "b", 500, 5)
 
 
@@ -164,11 +164,11 @@ def mt14_total_variation(spark, root):
     return s.groupBy("score_run", "period").agg(F.round(0.5 * F.sum(F.abs(F.col("share") - F.col("old"))), 6).alias("total_variation"))
 
 
-@query(W.WK + ", e AS (SELECT k.keep, w.score_run, w.cluster_id, w.period, w.n, (SELECT sum(pow(k.keep, (w.period - p.period) // 7 - 1) * p.n) FROM wk p WHERE p.score_run = w.score_run AND p.cluster_id = w.cluster_id AND p.period < w.period) AS m FROM wk w, (VALUES (0.7), (0.9), (0.98)) k(keep) WHERE w.score_run = 1), s AS (SELECT *, (m + 1) / (sum(m) OVER p + count(*) OVER p) * sum(n) OVER p AS expected FROM e WHERE m IS NOT NULL WINDOW p AS (PARTITION BY keep, period)) SELECT CAST(keep AS DOUBLE) AS keep, round(avg(abs(n - expected)), 6) AS mae FROM s GROUP BY keep")
+@query(W.WK + ", e AS (SELECT k.keep, w.score_run, w.cluster_id, w.period, w.n, (SELECT sum(pow(k.keep, (w.period - p.period) // 7 - 1) * p.n) FROM wk p WHERE p.score_run = w.score_run AND p.cluster_id = w.cluster_id AND p.period < w.period) AS m FROM wk w, (VALUES (0.7), (0.9), (0.98)) k(keep)), s AS (SELECT *, (m + 1) / (sum(m) OVER p + count(*) OVER p) * sum(n) OVER p AS expected FROM e WHERE m IS NOT NULL WINDOW p AS (PARTITION BY keep, score_run, period)) SELECT CAST(keep AS DOUBLE) AS keep, round(avg(abs(n - expected)), 6) AS mae FROM s GROUP BY keep")
 def mt13_memory_grid(spark, root):
     from tidemark.operators.series import decayed_shares
 
-    run = W.weekly(spark, root).where("score_run = 1")
+    run = W.weekly(spark, root)
     out = None
     for keep in (0.7, 0.9, 0.98):
         d = decayed_shares(run, keep).withColumn("expected", F.col("memory_share") * F.sum("n").over(Window.partitionBy("score_run", "period"))).where("memory_share IS NOT NULL")
@@ -279,9 +279,9 @@ def st06_normal_scores(spark, root):
     return rows.select("score_run", "cluster_id", "period", F.round(X.mid_z_udf(F.col("n").cast("double"), F.lit(8.0), F.col("expected")), 5).alias("z"))
 
 
-@query(W.WK + W._Z_SQL + f" SELECT score_run, cluster_id, period, (SELECT min(i) FROM (SELECT i, sum(exp({_LG})) OVER (ORDER BY i) AS c FROM range(2000) r(i)) WHERE c >= 0.9) AS p90 FROM scored WHERE expected > 0 AND score_run = 1 AND period >= DATE '2025-12-01'")
+@query(W.WK + W._Z_SQL + f" SELECT score_run, cluster_id, period, (SELECT min(i) FROM (SELECT i, sum(exp({_LG})) OVER (ORDER BY i) AS c FROM range(2000) r(i)) WHERE c >= 0.9) AS p90 FROM scored WHERE expected > 0")
 def st14_nb_quantile(spark, root):
-    rows = W._scored(spark, root).where("expected > 0 AND score_run = 1").where(F.col("period") >= F.lit("2025-12-01").cast("date"))
+    rows = W._scored(spark, root).where("expected > 0")
     return rows.select("score_run", "cluster_id", "period", X.nb_quantile_udf(0.9)(F.lit(8.0), F.col("expected")).cast("long").alias("p90"))
 
 
@@ -294,27 +294,29 @@ def st17_dirichlet_multinomial(spark, root):
     return per.select("score_run", "period", F.round(lg(F.col("a")) + lg(F.col("n") + F.lit(1.0)) - lg(F.col("n") + F.col("a")) + F.col("part"), 5).alias("log_pmf"))
 
 
-@query(W.WK + ", g AS (SELECT unnest(range(61)) AS i), k AS (SELECT i, exp(ln(1.0) + i * 0.1) AS kappa FROM g), s AS (SELECT w.*, sum(n) OVER p AS total FROM wk w WHERE score_run = 1 WINDOW p AS (PARTITION BY period)), f AS (SELECT cluster_id, (sum(n) + 1.0) / (SELECT sum(n) + (SELECT count(DISTINCT cluster_id) FROM s) FROM s) AS share FROM s GROUP BY 1), l AS (SELECT i, kappa, period, lgamma(kappa) - lgamma(any_value(total) + kappa) + sum(lgamma(n + kappa * share) - lgamma(kappa * share)) AS v FROM s JOIN f USING (cluster_id), k GROUP BY i, kappa, period), p AS (SELECT i, kappa, sum(v) AS v FROM l GROUP BY ALL) SELECT i, round(kappa, 6) AS kappa, round(exp(v - max(v) OVER ()) / sum(exp(v - (SELECT max(v) FROM p))) OVER (), 6) AS weight FROM p")
+@query(W.WK + """, k AS (SELECT i, exp(i * 0.1) AS kappa FROM range(61) r(i)), f AS (SELECT score_run, cluster_id, (sum(n) + 1.0) / (sum(sum(n)) OVER (PARTITION BY score_run) + count(*) OVER (PARTITION BY score_run)) AS share FROM wk GROUP BY score_run, cluster_id),
+l AS (SELECT wk.score_run, i, kappa, period, lgamma(kappa) - lgamma(sum(n) + kappa) + sum(lgamma(n + kappa * share) - lgamma(kappa * share)) AS v FROM wk JOIN f ON wk.score_run = f.score_run AND wk.cluster_id = f.cluster_id, k GROUP BY wk.score_run, i, kappa, period),
+p AS (SELECT score_run, i, kappa, sum(v) AS v FROM l GROUP BY score_run, i, kappa), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY score_run)) AS e FROM p)
+SELECT score_run, i, round(kappa, 6) AS kappa, round(e / sum(e) OVER (PARTITION BY score_run), 6) AS weight FROM e""")
 def st22_grid_posterior(spark, root):
-    run = W.weekly(spark, root).where("score_run = 1")
-    lg = X.lgamma_udf
-    share = run.groupBy("cluster_id").agg(F.sum("n").alias("c")).withColumn("share", (F.col("c") + 1.0) / (F.sum("c").over(Window.partitionBy()) + F.count(F.lit(1)).over(Window.partitionBy()))).select("cluster_id", "share")
+    runs, lg = W.weekly(spark, root), X.lgamma_udf
+    whole = Window.partitionBy("score_run")
+    share = runs.groupBy("score_run", "cluster_id").agg(F.sum("n").alias("c")).withColumn("share", (F.col("c") + 1.0) / (F.sum("c").over(whole) + F.count(F.lit(1)).over(whole))).select("score_run", "cluster_id", "share")
     points = F.explode(F.sequence(F.lit(0), F.lit(60))).alias("i")
-    rows = run.join(share, "cluster_id").select("period", "n", "share", points).withColumn("kappa", F.exp(F.col("i") * 0.1))
+    rows = runs.join(share, ["score_run", "cluster_id"]).select("score_run", "period", "n", "share", points).withColumn("kappa", F.exp(F.col("i") * 0.1))
     rows = rows.withColumn("v", lg(F.col("n") + F.col("kappa") * F.col("share")) - lg(F.col("kappa") * F.col("share")))
-    per = rows.groupBy("i", "kappa", "period").agg(F.sum("v").alias("v"), F.sum("n").cast("double").alias("t")).withColumn("v", F.col("v") + lg(F.col("kappa")) - lg(F.col("t") + F.col("kappa")))
-    w = Window.partitionBy()
-    post = per.groupBy("i", "kappa").agg(F.sum("v").alias("v")).withColumn("e", F.exp(F.col("v") - F.max("v").over(w)))
-    return post.select(F.col("i").cast("long").alias("i"), F.round("kappa", 6).alias("kappa"), F.round(F.col("e") / F.sum("e").over(w), 6).alias("weight"))
+    per = rows.groupBy("score_run", "i", "kappa", "period").agg(F.sum("v").alias("v"), F.sum("n").cast("double").alias("t")).withColumn("v", F.col("v") + lg(F.col("kappa")) - lg(F.col("t") + F.col("kappa")))
+    post = per.groupBy("score_run", "i", "kappa").agg(F.sum("v").alias("v")).withColumn("e", F.exp(F.col("v") - F.max("v").over(whole)))
+    return post.select("score_run", F.col("i").cast("long").alias("i"), F.round("kappa", 6).alias("kappa"), F.round(F.col("e") / F.sum("e").over(whole), 6).alias("weight"))
 
 
 # Text.
 _NORMAL = "trim(regexp_replace(regexp_replace(lower(narrative), '\\bx{2,}\\b', '<redacted>', 'g'), '[\\s\\x{A0}]+', ' ', 'g'))"
 
 
-@query(f"SELECT complaint_id, epoch_us(loaded_at) AS loaded_us, sha256({_NORMAL}) AS text_hash FROM prepared WHERE narrative IS NOT NULL AND NOT contains(narrative, 'ß')")
+@query(f"SELECT complaint_id, epoch_us(loaded_at) AS loaded_us, sha256({_NORMAL}) AS text_hash FROM prepared WHERE narrative IS NOT NULL")
 def sc01_normalised_native(spark, root):
-    rows = _prepared(spark, root).where("narrative IS NOT NULL AND NOT contains(narrative, 'ß')")
+    rows = _prepared(spark, root).where("narrative IS NOT NULL")
     return rows.select("complaint_id", F.unix_micros("loaded_at").alias("loaded_us"), F.sha2(T.normalised_native(F.col("narrative")), 256).alias("text_hash"))
 
 

@@ -64,13 +64,13 @@ def ag04_full_weeks_of_days(spark, root):
     return daily(spark, root).groupBy("score_run", "cluster_id", F.date_trunc("week", "period").cast("date").alias("week")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days")).where("days = 7").drop("days")
 
 
-@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(*) FILTER (WHERE value > 30) AS n_novel FROM events WHERE extract(hour FROM ts) = 3 GROUP BY 1, 2),
-g AS (SELECT e.event_type, CAST(d.day AS DATE) AS day FROM (SELECT DISTINCT event_type FROM c) e, (SELECT unnest(generate_series((SELECT min(day) FROM c)::TIMESTAMP, (SELECT max(day) FROM c)::TIMESTAMP, INTERVAL 1 DAY)) AS day) d)
-SELECT event_type, day, COALESCE(n, 0) AS n, COALESCE(n_novel, 0) AS n_novel FROM g LEFT JOIN c USING (event_type, day)""")
+@query("""WITH c AS (SELECT date_received AS day, product_canonical, count(*) AS n, count(*) FILTER (WHERE NOT known_issue) AS n_novel FROM prepared WHERE product_canonical IS NOT NULL AND date_received IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT e.product_canonical, CAST(d.day AS DATE) AS day FROM (SELECT DISTINCT product_canonical FROM c) e, (SELECT unnest(generate_series((SELECT min(day) FROM c)::TIMESTAMP, (SELECT max(day) FROM c)::TIMESTAMP, INTERVAL 1 DAY)) AS day) d)
+SELECT product_canonical, day, COALESCE(n, 0) AS n, COALESCE(n_novel, 0) AS n_novel FROM g LEFT JOIN c USING (product_canonical, day)""")
 def jn09_complete_grid(spark, root):
-    events = table(spark, root, "events").where(F.hour("ts") == 3)
-    counts = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 30).alias("n_novel"))
-    return S.on_grid(counts, "day", "event_type", 1, ["n", "n_novel"])
+    rows = table(spark, root, "prepared").where("product_canonical IS NOT NULL AND date_received IS NOT NULL")
+    counts = rows.groupBy(F.col("date_received").alias("day"), "product_canonical").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("known_issue")).alias("n_novel"))
+    return S.on_grid(counts, "day", "product_canonical", 1, ["n", "n_novel"])
 
 
 @query(WK + " SELECT score_run, cluster_id, period, n, CAST(sum(n) OVER w AS BIGINT) AS total, round(CASE WHEN sum(n) OVER w <> 0 THEN n / sum(n) OVER w ELSE 0 END, 6) AS share FROM wk WINDOW w AS (PARTITION BY score_run, period)")
@@ -157,9 +157,9 @@ def wn10_complete_weeks(spark, root):
     return rows.select("score_run", "split", "week", ((F.col("week") >= F.col("a")) & (F.date_add("week", 7) <= F.col("b"))).alias("complete_in_split"), (F.date_add("week", 6) <= F.lit("2026-01-31").cast("date")).alias("complete_at_end"))
 
 
-@query(DY.replace("WITH RECURSIVE", "WITH") + " SELECT score_run, cluster_id, period, round(COALESCE(m.v, 0), 6) AS memory_sum FROM dy LEFT JOIN LATERAL (SELECT sum(pow(0.9, date_diff('day', p.period, dy.period) - 1) * p.n) AS v FROM dy p WHERE p.score_run = dy.score_run AND p.cluster_id = dy.cluster_id AND p.period < dy.period) m ON TRUE WHERE score_run <= 2")
+@query(DY.replace("WITH RECURSIVE", "WITH") + " SELECT score_run, cluster_id, period, round(COALESCE(m.v, 0), 6) AS memory_sum FROM dy LEFT JOIN LATERAL (SELECT sum(pow(0.9, date_diff('day', p.period, dy.period) - 1) * p.n) AS v FROM dy p WHERE p.score_run = dy.score_run AND p.cluster_id = dy.cluster_id AND p.period < dy.period) m ON TRUE")
 def st01_memory_sums(spark, root):
-    d = daily(spark, root).where("score_run <= 2")
+    d = daily(spark, root)
     a, b = d.alias("a"), d.alias("b")
     later = (F.col("a.score_run") == F.col("b.score_run")) & (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("b.period") < F.col("a.period"))
     term = F.pow(F.lit(0.9), F.datediff("a.period", "b.period") - 1) * F.col("b.n")

@@ -232,7 +232,7 @@ def fit_profiles(documents: DataFrame, languages: tuple[str, ...] = LANGUAGES, s
     return Profiles([r["text"] for r in rows], [r["lang"] for r in rows], languages)
 
 
-def segments(documents: DataFrame, languages: tuple[str, ...] = LANGUAGES, change: float = 3.0, sample_docs: int = 400, profiles: Profiles | None = None) -> DataFrame:
+def segments(documents: DataFrame, languages: tuple[str, ...] = LANGUAGES, change: float = 5.0, sample_docs: int = 400, profiles: Profiles | None = None) -> DataFrame:
     """Each document's stretches: doc_id, label, seg_no, lang, confidence, n_sentences, n_segments.
 
     ``confidence`` is how much smaller the distance from the language is than from the next one, 0 to 1. A document with

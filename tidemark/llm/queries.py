@@ -44,6 +44,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_prepared_copies(spark: SparkSession, root: str) -> DataFrame:
+    """The copies in columns alone, which SQL can check."""
+    return all_copies(*distinct_records(_records(spark, root)["prepared"]))
+
+
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     members = cluster_members(_table(spark, root, "fit_embeddings"), _table(spark, root, "cluster_summary"))
     return described(members, _table(spark, root, "sample_manifest"), _table(spark, root, "prepared"))
@@ -103,5 +108,15 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return mislabelled(segments(_table(spark, root, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found, p8_schedule, p8_report, p8_found, p9_segments, p9_documents, p9_found)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p4_prepared_copies, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found, p8_schedule, p8_report, p8_found, p9_segments, p9_documents, p9_found)}
+#: Brute force over all pairs of vectors, and grouping by the canonical text; for small tables.
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH v AS (SELECT embedding_row AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM fit_embeddings WHERE embedding IS NOT NULL AND embedding_row IN (SELECT embedding_row FROM sample_manifest)
+  QUALIFY row_number() OVER (PARTITION BY embedding_row ORDER BY encoded_at DESC NULLS LAST) = 1),
+n AS (SELECT r, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+s AS (SELECT a.r AS a, b.r AS b, list_dot_product(a.e, b.e) / (a.norm * b.norm) AS c, row_number() OVER (PARTITION BY a.r ORDER BY list_dot_product(a.e, b.e) / (a.norm * b.norm) DESC, b.r) AS i FROM n a JOIN n b ON a.r <> b.r)
+SELECT DISTINCT least(a, b) AS row_a, greatest(a, b) AS row_b FROM s WHERE i <= 5 AND c >= 0.85""",
+    "p4_prepared_copies": """WITH k AS (SELECT DISTINCT complaint_id AS id, concat_ws(chr(31), replace(CAST(date_received AS VARCHAR), '-', ''), regexp_replace(lower(company), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(narrative), '[^\\p{L}\\p{N}]', '', 'g')) AS canon
+  FROM prepared WHERE complaint_id IS NOT NULL AND date_received IS NOT NULL AND company IS NOT NULL AND narrative IS NOT NULL),
+f AS (SELECT canon, min(id) AS first_id FROM k GROUP BY 1) SELECT DISTINCT first_id, id AS copy_id FROM k JOIN f USING (canon) WHERE id <> first_id""",
+}

@@ -34,7 +34,7 @@ def test_quotes_edits_and_near_misses(spark):
     rows = [(k, " ".join(v), "x") for k, v in docs.items()] + [(9, None, "x"), (None, " ".join(items[0]), "x"), (10, ", ".join(items[0]).upper(), "x"), (1, " ".join(docs[1]), "x")]
     given = [(k, " ".join(t), "x") for k, t in enumerate(items)] + [(7, None, "x"), (None, "a b", "x"), (8, "", "x"), (9, " ".join(items[0]), "x")]
     want = {(1, 0), (2, 0), (3, 1), (6, 3), (10, 0), (1, 9), (2, 9), (10, 9)}
-    for block in (20_000_000, 700):
+    for block in (2_000_000, 700):
         got = leaked_items(spark.createDataFrame(rows, D), spark.createDataFrame(given, I), block_chars=block).toPandas()
         assert set(got[["doc_id", "item_id"]].itertuples(index=False, name=None)) == want and len(got) == len(want)
     two = got[(got.doc_id == 3) & (got.item_id == 1)].iloc[0]

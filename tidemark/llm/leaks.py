@@ -57,8 +57,8 @@ class Passages:
         grams, joined = _Grams(q), ["".join(w) for w in self.words]
         hashes = [grams(t) for t in joined]
         keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashes)]) if hashes else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        item = np.concatenate([np.full(len(h), i, np.int32) for i, h in enumerate(hashes)]) if hashes else np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], item[order], at[order]
         self.seen = np.zeros(1 << _BITS, bool)
@@ -214,7 +214,7 @@ def _scan(block: Passages, share: float, width: int, slack: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, share: float = 0.4, q: int = 24, width: int = 96, edit_every: int = 10, slack: float = 0.03, block_chars: int = 20_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, share: float = 0.4, q: int = 24, width: int = 96, edit_every: int = 10, slack: float = 0.03, block_chars: int = 2_000_000) -> DataFrame:
     """Documents that hold at least ``share`` of a passage's words in one or two stretches: doc_id, item_id, n_stretches, coverage.
 
     Coverage counts the passage words of the aligned stretches, edits inside included; ``slack`` is let off, for edits at

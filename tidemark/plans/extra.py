@@ -180,3 +180,86 @@ def st19_rare_mixtures(spark, root):
     from tidemark.operators.simulation import rare_mixtures
 
     return rare_mixtures(S.lagged_shares(W.weekly(spark, root), 4).withColumnRenamed("recent_share", "share"), 50.0).withColumn("p_value", F.round("p_value", 6))
+
+
+@query("SELECT y AS year, count(*) AS n_groups, count(*) FILTER (WHERE n > 1) AS n_repeated, CAST(COALESCE(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_repeated, CAST(sum(n - 1) AS BIGINT) AS extra_copies, max(n) AS largest FROM (SELECT year(date_received) AS y, hash, count(*) AS n FROM prepared WHERE hash IS NOT NULL AND date_received IS NOT NULL GROUP BY 1, hash) GROUP BY 1")
+def ag23_repetition_by_year(spark, root):
+    g = table(spark, root, "prepared").where("hash IS NOT NULL AND date_received IS NOT NULL").groupBy(F.year("date_received").cast("long").alias("year"), "hash").agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") > 1
+    return g.groupBy("year").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(many).alias("n_repeated"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("rows_repeated"), F.sum(F.col("n") - 1).alias("extra_copies"), F.max("n").alias("largest"))
+
+
+@query(R._RANKS + "SELECT p.complaint_id, epoch_us(p.loaded_at) AS loaded_us, EXISTS (SELECT 1 FROM top WHERE top.g = p.product_canonical AND top.t1 = p.t1) AS hit FROM prepared p WHERE period = 'validation_2025_h1' AND t1 IS NOT NULL")
+def tk03_top_three_hit(spark, root):
+    top = R._ranks(spark, root).groupBy(F.col("g").alias("product_canonical")).agg(F.collect_set("t1").alias("best"))
+    rows = table(spark, root, "prepared").where("period = 'validation_2025_h1' AND t1 IS NOT NULL").join(top, "product_canonical", "left")
+    return rows.select("complaint_id", F.unix_micros("loaded_at").alias("loaded_us"), F.coalesce(F.array_contains("best", F.col("t1")), F.lit(False)).alias("hit"))
+
+
+@query("""WITH fit AS (SELECT product_canonical AS g, t1, t2 FROM prepared WHERE period = 'train_2023_2024'), a AS (SELECT avg(CAST(t2 AS INTEGER)) AS r FROM fit),
+r AS (SELECT g, avg(CAST(t2 AS INTEGER)) AS r FROM fit GROUP BY 1), c AS (SELECT g, t1 FROM fit WHERE t1 IS NOT NULL AND g IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, t1) = 1)
+SELECT p.complaint_id, epoch_us(p.loaded_at) AS loaded_us, c.t1 AS first_class, round(COALESCE(r.r, (SELECT r FROM a)), 6) AS rate FROM prepared p LEFT JOIN r ON p.product_canonical = r.g LEFT JOIN c ON p.product_canonical = c.g WHERE p.period = 'validation_2025_h1'""")
+def ml03_frequency_baseline(spark, root):
+    from tidemark.operators.profile import dominant
+
+    p = table(spark, root, "prepared")
+    fit = p.where("period = 'train_2023_2024'")
+    rate = fit.groupBy("product_canonical").agg(F.avg(F.col("t2").cast("int")).alias("r"))
+    whole = fit.agg(F.avg(F.col("t2").cast("int")).alias("a"))  # one row
+    first = dominant(fit.where("product_canonical IS NOT NULL"), ["product_canonical"], "t1").select("product_canonical", F.col("t1").alias("first_class"))
+    rows = p.where("period = 'validation_2025_h1'").select("complaint_id", F.unix_micros("loaded_at").alias("loaded_us"), "product_canonical")
+    got = rows.join(rate, "product_canonical", "left").join(first, "product_canonical", "left").join(F.broadcast(whole))
+    return got.select("complaint_id", "loaded_us", "first_class", F.round(F.coalesce("r", "a"), 6).alias("rate"))
+
+
+@query(R._NEAR + ", t AS (SELECT q, max(s) AS top FROM k GROUP BY 1), l AS (SELECT quantile_cont(top, 0.05) AS q05 FROM t) SELECT q AS query_id, round(top, 5) AS top_similarity, top < (SELECT q05 FROM l) AS is_novel FROM t")
+def ml11_similarity_novelty(spark, root):
+    top = R._near(spark, root).groupBy("query_id").agg(F.max("similarity").alias("top"))
+    limit = top.agg(F.percentile("top", F.lit(0.05)).alias("q05"))  # one row
+    return top.join(F.broadcast(limit)).select("query_id", F.round("top", 5).alias("top_similarity"), (F.col("top") < F.col("q05")).alias("is_novel"))
+
+
+@query(f"SELECT label, count(*) AS n, round(min(c), 5) AS least_cosine, round(avg(c), 5) AS mean_cosine FROM (SELECT e.label, list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), m.centre) / sqrt(list_dot_product(m.centre, m.centre)) AS c FROM embeddings e JOIN ({R._CENTRES.split('d AS')[0].replace('WITH c AS (', '').rstrip().rstrip(',').rstrip(')')}) m USING (label)) GROUP BY label")
+def ml08_cosine_with_centre(spark, root):
+    e = table(spark, root, "embeddings")
+    cs = V.centres(e, "label").withColumnRenamed("part", "label")
+    c = V.dot("embedding", "centre") / F.sqrt(V.dot("centre", "centre"))
+    return e.join(F.broadcast(cs), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(c), 5).alias("least_cosine"), F.round(F.avg(c), 5).alias("mean_cosine"))
+
+
+@query(W.WK + W._Z_SQL + """, s AS (SELECT * FROM (VALUES ('none', 1.0), ('half more', 1.5), ('double', 2.0)) v(name, factor)), o AS (SELECT s.name, score_run, cluster_id, row_number() OVER (PARTITION BY s.name, score_run, cluster_id ORDER BY period) AS i, CASE WHEN expected > 0 THEN (n * CAST(factor AS DOUBLE) - expected) / sqrt(expected) END AS z FROM scored, s WHERE period >= DATE '2025-09-01'),
+c AS (SELECT name, score_run, cluster_id, i, greatest(0, COALESCE(z, 0) - 0.5) AS s FROM o WHERE i = 1 UNION ALL SELECT o.name, o.score_run, o.cluster_id, o.i, greatest(0, (CASE WHEN c.s > 3.0 THEN 0 ELSE c.s END) + COALESCE(o.z, 0) - 0.5) FROM o JOIN c ON o.name = c.name AND o.score_run = c.score_run AND o.cluster_id = c.cluster_id AND o.i = c.i + 1)
+SELECT name, count(*) AS n_series, count(first) AS n_detected, CAST(min(first) AS BIGINT) AS soonest FROM (SELECT name, score_run, cluster_id, min(i) FILTER (WHERE s > 3.0) AS first FROM c GROUP BY ALL) GROUP BY name""")
+def jn10_scenarios_by_series(spark, root):
+    # Scenarios are a constant array exploded per row; every (scenario, series) is then a fold of its own.
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("factor")) for n, x in (("none", 1.0), ("half more", 1.5), ("double", 2.0))])).alias("s")
+    rows = W._scored(spark, root).where(F.col("period") >= F.lit("2025-09-01").cast("date")).select("score_run", "cluster_id", "period", "n", "expected", names)
+    z = F.when(F.col("expected") > 0, (F.col("n") * F.col("s.factor") - F.col("expected")) / F.sqrt("expected"))
+    by = ["name", "score_run", "cluster_id"]
+    sums = S.upper_cusum(rows.select(F.col("s.name").alias("name"), "score_run", "cluster_id", "period", z.alias("z")), by, "period", "z", 0.5, 3.0)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("period")).cast("long")
+    first = sums.withColumn("i", place).groupBy(*by).agg(F.min(F.when(F.col("alarm"), F.col("i"))).alias("first"))
+    return first.groupBy("name").agg(F.count(F.lit(1)).alias("n_series"), F.count("first").alias("n_detected"), F.min("first").alias("soonest"))
+
+
+@query("""WITH g AS (SELECT product_canonical AS part, unnest(regexp_split_to_array(lower(narrative), '[^\\p{L}\\p{N}]+')) AS w FROM prepared WHERE narrative IS NOT NULL AND product_canonical IS NOT NULL)
+SELECT part, count(*) AS n_tokens, count(DISTINCT w) AS n_words FROM g WHERE length(w) > 1 GROUP BY part""")
+def ag20_tokens_per_group(spark, root):
+    from tidemark.functions.text import tokens
+
+    rows = table(spark, root, "prepared").where("narrative IS NOT NULL AND product_canonical IS NOT NULL").select(F.col("product_canonical").alias("part"), F.explode(tokens(F.col("narrative"))).alias("w"))
+    per = rows.groupBy("part", "w").agg(F.count(F.lit(1)).alias("n"))  # words, not texts, are brought together
+    return per.groupBy("part").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_words"))
+
+
+@query("""WITH w AS (SELECT row_number() OVER (ORDER BY week) AS i, week FROM (SELECT DISTINCT week FROM weekly_panel)), k AS (SELECT count(*) AS n FROM w),
+p AS (SELECT d.draw, CAST(floor(((d.draw * 7919 + l.place * 104729 + 11) * 2654435761) % 4294967296 / 65536) AS BIGINT) % k.n + 1 AS i FROM (SELECT unnest(range(50)) AS draw) d, k, LATERAL (SELECT unnest(range(1, k.n + 1)) AS place) l)
+SELECT draw, week, count(*) AS weight FROM p JOIN w USING (i) GROUP BY ALL""")
+def mt11_resampling_weights(spark, root):
+    weeks = table(spark, root, "weekly_panel").select("week").distinct()
+    ranked = weeks.select("week", F.row_number().over(Window.orderBy("week")).cast("long").alias("i"))  # over one row per week
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    picks = spark.range(50).withColumnRenamed("id", "draw").join(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place"))
+    mixed = F.pmod((F.col("draw") * 7919 + F.col("place") * 104729 + 11) * F.lit(2654435761), F.lit(1 << 32))
+    picks = picks.select("draw", (F.pmod(F.floor(mixed / 65536), F.col("n")) + 1).alias("i"))
+    return picks.join(ranked, "i").groupBy("draw", "week").agg(F.count(F.lit(1)).alias("weight"))

@@ -42,7 +42,7 @@ def test_ward_against_plain_agglomeration():
 
 def test_planted_clusters_are_found(spark):
     x, label = blobs()
-    got = assigned(frame(spark, [*x, np.zeros(32), None]), 5).toPandas()
+    got = assigned(frame(spark, [*x, np.zeros(32), None, np.ones(5), []]), 5).toPandas()
     assert len(got) == 400 and got.part.nunique() == 5
     assert all(g.part.nunique() == 1 for _, g in got.assign(y=label[got.row_id]).groupby("y"))
 

@@ -46,7 +46,7 @@ def test_unusable_repeated_and_copied_rows(spark):
     base = rng.normal(size=(40, 8)).astype(np.float32)
     vectors = [*base, np.zeros(8), None, [float("nan")] * 8]
     copies = [(100 + i, [float(x) for x in base[0]], 0, None, "clash", 1) for i in range(9)]  # exact copies of row 0
-    again = [(3, [float(x) for x in base[3]], 0, None, "clash", 1), (None, [1.0] * 8, 0, None, "clash", 1)]
+    again = [(3, [float(x) for x in base[3]], 0, None, "clash", 1), (None, [1.0] * 8, 0, None, "clash", 1), (77, [1.0] * 5, 0, None, "clash", 1), (78, [], 0, None, "clash", 1), (79, [1.0] * 7 + [None], 0, None, "clash", 1)]
     got = most_similar(rows(spark, vectors, copies + again)).toPandas()
     assert set(got.row_id) == set(range(40)) | set(range(100, 109))
     assert got.groupby("row_id").size().max() == 5 and not got.duplicated(["row_id", "other_id"]).any()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import matrix, usable_vectors
+from tidemark.llm.vectors import matrix, usable_vectors, usual_size
 from tidemark.session import staged
 
 
@@ -235,10 +235,10 @@ def _sums(dim: int):
 def assigned(vectors: DataFrame, k: int, **fit) -> DataFrame:
     """Every usable vector with its cluster: row_id, part (0..k-1), cosine with the centre, the mean direction of the members.
 
-    Null, all-zero and non-finite vectors take no part; a repeated row counts once; an empty table gives no rows; with
+    Null, all-zero and non-finite vectors, and those of another length than most, take no part; a repeated row counts once; an empty table gives no rows; with
     fewer distinct vectors than ``k`` there are fewer clusters. Ties go to the lower cluster number.
     """
-    held = usable_vectors(vectors)
+    held = usable_vectors(vectors, dim=usual_size(vectors))
     centres = fit_centres(held, k, **fit)
     schema = "row_id long, part int, cosine double, vec array<float>"
     if not len(centres):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import kmeans, matrix, training_sample, usable_vectors
+from tidemark.llm.vectors import kmeans, matrix, training_sample, usable_vectors, usual_size
 
 SAMPLE_ROWS = 16_384  # bound of the fitting sample
 MEMBER, QUERY = 1, 2
@@ -120,14 +120,15 @@ def most_similar(vectors: DataFrame, reached_from: DataFrame | None = None, k: i
 
     ``probes`` lists are searched at most (5 of 64), and only those whose centroid's cosine is within ``margin`` of the
     best; ``rerank`` candidates of a list get the exact cosine. Ties go to the smaller id. Null, all-zero and non-finite
-    vectors take no part (see ``usable_vectors``); a repeated row id counts once; a vector without any other has no
+    vectors, and those of another length than most, take no part (see ``usable_vectors``); a repeated row id counts once; a vector without any other has no
     rows; empty tables give none. ``similarity`` is rounded to 6 places.
     """
-    held = usable_vectors(vectors, reached_from)
+    dim = usual_size(vectors)
+    held = usable_vectors(vectors, reached_from, dim=dim)
     stamped = held.select("row_id", F.struct(F.xxhash64("vec").alias("x"), F.hash("vec").alias("y")).alias("h"))
     classes = stamped.groupBy("h").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = stamped.join(classes.where("n > 1"), "h").select("row_id", "rep")
-    sample, n = training_sample(vectors.where(F.col("embedding").isNotNull()).select(F.col("embedding_row").cast("long").alias("row_id"), F.col("embedding").alias("vec")).where("exists(vec, x -> x != 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x))"), sample_rows)
+    sample, n = training_sample(vectors.where(F.col("embedding_row").isNotNull() & (F.size("embedding") == dim)).select(F.col("embedding_row").cast("long").alias("row_id"), F.col("embedding").alias("vec")).where("exists(vec, x -> x != 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x))"), sample_rows)
     schema = "row_id long, other_id long, similarity double, rank int"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema)

@@ -12,7 +12,7 @@ def usable_vectors(vectors: DataFrame, reached_from: DataFrame | None = None, ro
     """(row_id, vec): one row per embedding_row with a usable vector.
 
     Unusable are null, all-zero and non-finite vectors, vectors with a null element, a null row id and, where ``dim`` is
-    given, vectors of another length. Of several vectors for a row the one encoded last holds, then the one with the
+    given, vectors of another length (a pass over all rows finds the usual one, see ``usual_size``). Of several vectors for a row the one encoded last holds, then the one with the
     larger hash. With ``reached_from``, only rows named in that table's ``embedding_row``. Scale doesn't matter later on.
     """
     v = F.col(vec)
@@ -26,6 +26,13 @@ def usable_vectors(vectors: DataFrame, reached_from: DataFrame | None = None, ro
     return held
 
 
+def usual_size(vectors: DataFrame, vec: str = "embedding") -> int:
+    """The length that most vectors have (the shorter on ties), 0 without vectors."""
+    sizes = vectors.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.orderBy(F.desc("n"), "size").first()
+    return top["size"] if top else 0
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list-of-float or binary column as a float32 matrix of unit rows."""
     if isinstance(column, pa.ChunkedArray):

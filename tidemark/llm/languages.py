@@ -41,6 +41,8 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 
 def _pieces(sentence: str, most_words: int, piece_words: int) -> list[str]:
     """A text that runs on without sentence ends, in pieces as long as sentences are."""
+    if len(sentence) < 3 * most_words or len(sentence.split(None, most_words)) <= most_words:
+        return [sentence]
     gaps = [m.start() for m in _GAP.finditer(sentence)]
     if len(gaps) < most_words:
         return [sentence]
@@ -67,7 +69,7 @@ def sentences(text: str, least_words: int = 3, most_words: int = 30, piece_words
     out, carry = [], ""
     for p in parts:
         p, carry = carry + p, ""
-        if len({w.lower() for w in _WORD.findall(p)}) >= least_words:
+        if len(set(_WORD.findall(p.lower()))) >= least_words:
             out += _pieces(p, most_words, piece_words)
         elif out:
             out[-1] += p

@@ -1,8 +1,11 @@
 import random
 
+import pytest
+
 from tidemark.llm.overlap import overlap_report, overlapping, split_overlaps, word_edits, words
 
 M = "complaint_id string, sample_split string, doc string"
+VOCABULARY = [f"v{i}" for i in range(40)]
 P = "complaint_id string, narrative string, submitted_via string, key string"
 
 
@@ -62,6 +65,43 @@ def test_very_many_copies_and_long_texts(spark):
     assert {(r.id, r.is_exact) for r in overlapping(*parts).collect()} == {("e", True), ("l", False)}
 
 
+@pytest.mark.parametrize("n", [30, 3000])
+def test_unseen_words_in_copies_at_growing_n(spark, n):
+    # Common words weigh the less beside a word that occurs once, the more texts there are.
+    rng = random.Random(n)
+    base = [[rng.choice(VOCABULARY) for _ in range(rng.randrange(30, 90))] for _ in range(n)]
+    manifest, prepared, want = [(f"f{i}", "fit", "x") for i in range(n)], [(f"f{i}", " ".join(t), "web", "x") for i, t in enumerate(base)], set()
+    for i, t in enumerate(base[:30]):
+        t = list(t)
+        for k in sorted(rng.sample(range(len(t)), len(t) // 10), reverse=True):
+            t[k : k + 1] = [[f"typo{i}x{k}"], [f"typo{i}x{k}", t[k]], []][i % 3]
+        manifest.append((f"e{i}", "validation", "x")), prepared.append((f"e{i}", " ".join(t), "web", "x"))
+        want.add((f"e{i}", "validation"))
+    parts = split_overlaps(spark.createDataFrame(manifest, M), spark.createDataFrame(prepared, P))
+    assert {(r.id, r.split) for r in overlapping(*parts).collect()} == want
+
+
+def test_links_are_all_pairs_within_the_edits(spark):
+    # Heavily repeated words, edits of any kind, up to beyond the limit: the links are those of brute force.
+    rng = random.Random(8)
+    fit = [[rng.choice("abcdefgh") if rng.random() < 0.5 else rng.choice(VOCABULARY) for _ in range(rng.randrange(1, 130))] for _ in range(60)]
+    held = []
+    for t in fit * 2:
+        t = list(t)
+        for _ in range(int(len(t) * rng.uniform(0, 0.25))):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randrange(2)] = [rng.choice(["a", "new", f"u{rng.random()}"])] * rng.randrange(2)
+        held.append(t)
+    fit, held = ([t for t in {" ".join(t) for t in x}] for x in (fit, held))
+    rows = [(f"f{i}", "fit", t) for i, t in enumerate(fit)] + [(f"e{i}", "calibration", t) for i, t in enumerate(held)]
+    _, docs, links = split_overlaps(spark.createDataFrame([(i, s, "x") for i, s, _ in rows], M), spark.createDataFrame([(i, t, "web", "x") for i, _, t in rows], P))
+    said = {r.doc: " ".join(words(r.words)) for r in docs.collect()}
+    got = {(said[r.doc], said[r.other]) for r in links.collect()}
+    h, f = ({" ".join(words(t)) for t in x} for x in (held, fit))
+    assert got == {(a, b) for a in h for b in f if a != b and plain_edits(a.split(), b.split()) <= 0.15 * max(len(a.split()), len(b.split()))}
+    assert len(got) > 50
+
+
 def test_empty(spark):
     parts = split_overlaps(spark.createDataFrame([], M), spark.createDataFrame([("a", "b", "c", "d")], P))
     assert overlapping(*parts).count() == 0 and overlap_report(*parts).count() == 0

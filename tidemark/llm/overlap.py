@@ -1,11 +1,14 @@
-"""Same or nearly the same texts across splits (problem 6): weighted cosine join over inverted lists.
+"""Same or nearly the same texts across splits (problem 6): weighted join over inverted lists.
 
 Texts become word vectors weighted by inverse document frequency over all texts, words hashed to a fixed number of
-terms. With terms in one global order, rarest first, a pair at cosine t or more shares a term among the leading terms of
-both, up to where the norm of the rest falls below t. Only these terms are listed; a shared term survives the join if the
-product of both residual norms from it on reaches t. Then a bound of the shared weights over longer leading parts, which
-postings carry along, discards most pairs before any text is fetched, and the exact dot product decides. Texts alike but
-for formatting are one text throughout, so a text with very many copies is joined once.
+terms. How many words a text shares follows from the edit rule alone, whatever the corpus: every change, addition or drop
+costs the longer text at most one of its words, so of two texts with at most a share e of the longer one's m words edited,
+(1 - e) m words are the same. With terms in one global order, rarest first, the first term such a pair shares is therefore
+preceded by at most n - (1 - e) m words in either text of n words. Only these leading terms are listed, and of them those
+that both sides have: an edited word that occurs nowhere else takes its place among the words that may differ, but can hide
+nothing. Then bitmaps of the texts' terms, which postings carry along, discard most pairs before any text is fetched: a bit
+that only one text has is a word at least that the other lacks. The word edits decide. Texts alike but for formatting are
+one text throughout, so a text with very many copies is joined once.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from tidemark.session import staged
 TERMS = 1 << 20  # bound of the document frequency table, whatever the vocabulary
 
 
-LEAD_TERMS = 64  # terms a posting carries for the bound at most; a shorter leading part makes the bound looser, not wrong
+SLACK = 1e-6  # of products with a share of words, against rounding
+BITS = ("b0", "b1", "b2", "b3")  # 64 bits each of a text's terms; where longer texts set most of them, the bound gets looser, not wrong
 
 
 def words(text: str) -> list[str]:
@@ -66,7 +70,7 @@ class Weights:
             held = np.zeros((2, TERMS), np.int64)
             n = 0
             for b in batches:
-                doc, term = _terms(b.column("words"))
+                doc, term, _ = _terms(b.column("words"))
                 for side, column in enumerate(("in_fit", "in_eval")):
                     held[side] += np.bincount(term[b.column(column).to_numpy(zero_copy_only=False)[doc]], minlength=TERMS)
                 both = (b.column("in_fit").to_numpy(zero_copy_only=False) & b.column("in_eval").to_numpy(zero_copy_only=False)).sum()
@@ -85,8 +89,8 @@ class Weights:
         self.shared[got.term] = (got.fit > 0) & (got.held_out > 0)
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document number in the batch, hashed term), each pair once, ordered by document."""
+def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number in the batch, hashed term, times it occurs), each pair once, ordered by document."""
     known: dict[str, int] = {}
     docs, terms = [], []
     for i, text in enumerate(column.to_pylist()):
@@ -98,45 +102,36 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 t = known[w] = zlib.crc32(w.encode()) % TERMS
             terms.append(t)
     if not terms:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.concatenate(docs) * TERMS + np.array(terms, np.int64))
-    return pair // TERMS, pair % TERMS
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pair, times = np.unique(np.concatenate(docs) * TERMS + np.array(terms, np.int64), return_counts=True)
+    return pair // TERMS, pair % TERMS, times
 
 
-_POSTING = "term int, doc long, n_words int, norm_left float, lead array<int>, lead_left float, norm float"
+_POSTING = "term int, doc long, n_words int, before int, " + ", ".join(f"{x} long" for x in BITS)
 
 
-def _postings(weights: Weights, least: float, lead: float):
-    names = ["term", "doc", "n_words", "norm_left", "lead", "lead_left", "norm"]
-    slack = 1e-5
+def _postings(weights: Weights, edits: float):
+    names = ["term", "doc", "n_words", "before", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, term = _terms(b.column("words"))
+            doc, term, times = _terms(b.column("words"))
             if not len(doc):
                 continue
-            w = weights.idf[term].astype(np.float64)
-            order = np.lexsort((term, -w, doc))  # rarest first, ties by term: the same order for all texts
-            doc, term, w = doc[order], term[order], w[order]
-            size = np.bincount(doc, minlength=b.num_rows)
-            end = np.cumsum(size)
-            start = end - size
-            sq = np.bincount(doc, w * w, minlength=b.num_rows)
-            run_sum = np.concatenate([[0], np.cumsum(w * w)])
-            before = (run_sum[:-1] - run_sum[start[doc]]) / sq[doc]
-            left = np.sqrt(np.maximum(0, 1 - before))
-            use = (left >= least - slack) & weights.shared[term]
-            longer = left >= lead
-            coded = (term << 8 | np.ceil(w * 8).astype(np.int64).clip(0, 255)).astype(np.int32)
-            lead_at = [coded[s : s + k] for s, k in zip(start, np.minimum(np.bincount(doc, longer, minlength=b.num_rows).astype(int), LEAD_TERMS))]
-            lead_n = np.array([len(x) for x in lead_at])
-            after = np.array([left[s + k] if k < n else 0.0 for s, k, n in zip(start, lead_n, size)])
-            norm = np.sqrt(sq)
-            n_words = np.array([t.count(" ") + 1 if t else 0 for t in b.column("words").to_pylist()])
+            order = np.lexsort((term, -weights.idf[term], doc))  # rarest first, ties by term: the same order for all texts
+            doc, term, times = doc[order], term[order], times[order]
+            n_words = np.bincount(doc, times, minlength=b.num_rows).astype(np.int64)
+            end = np.cumsum(n_words)
+            before = np.cumsum(times) - times - (end - n_words)[doc]
+            use = (before <= edits * n_words[doc] + SLACK) & weights.shared[term]
+            bits = np.zeros((len(BITS), b.num_rows), np.uint64)
+            at = (term * 2654435761 >> 7) % (64 * len(BITS))
+            np.bitwise_or.at(bits, (at // 64, doc), np.uint64(1) << (at % 64).astype(np.uint64))
+            bits = bits.view(np.int64)
             keys, d = b.column("doc"), doc[use]
             for a in range(0, len(d), 8192):
                 part = d[a : a + 8192]
-                yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(left[use][a : a + 8192].astype(np.float32)), pa.array([lead_at[i] for i in part], pa.list_(pa.int32())), pa.array(after[part].astype(np.float32)), pa.array(norm[part].astype(np.float32))], names=names)
+                yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(before[use][a : a + 8192].astype(np.int32)), *(pa.array(x[part]) for x in bits)], names=names)
 
     return run
 
@@ -160,7 +155,7 @@ def word_edits(a: list[str], b: list[str]) -> int:
     return score
 
 
-def _decided(weights: Weights, least: float, edits: float, keep_texts: int = 4096):
+def _decided(weights: Weights, edits: float, keep_texts: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[set[int], float, list[str]]] = {}
         square = (weights.idf.astype(np.float64) ** 2).tolist()
@@ -179,22 +174,24 @@ def _decided(weights: Weights, least: float, edits: float, keep_texts: int = 409
             keep, cosines = [], []
             for i, (doc, other, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "other", "words", "other_words")))):
                 (u, p, ws), (v, q, vs) = unit(doc, x), unit(other, y)
-                dot = sum(map(square.__getitem__, u & v)) / (p * q)
-                if dot >= least - 1e-5 and word_edits(ws, vs) <= edits * max(len(ws), len(vs)):
-                    keep.append(i), cosines.append(dot)
+                same, most = u & v, edits * max(len(ws), len(vs)) + SLACK
+                # A term that only one text has is an edit at least.
+                if max(len(u), len(v)) - len(same) <= most and word_edits(ws, vs) <= most:
+                    keep.append(i), cosines.append(sum(map(square.__getitem__, same)) / (p * q))
             at = pa.array(keep, pa.int64())
             yield pa.record_batch([b.column("doc").take(at), b.column("other").take(at), pa.array(cosines, pa.float64())], names=["doc", "other", "cosine"])
 
     return run
 
 
-def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, lead: float = 0.45, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_overlaps(manifest: DataFrame, texts: DataFrame, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of held-out splits that also stand, exactly or almost, in the fit split.
 
     Returns ``members`` (id, split, via, key), one row per complaint, split and submitted_via, the ``texts`` (key, doc,
     words, in_fit, in_eval) and the ``links`` (doc, other, cosine) between different texts: ``doc`` of a held-out text,
-    ``other`` of a fit text, cosine at least ``least`` and at most ``edits`` of the words changed, added or dropped (half
-    as many again as counted as the same, as nothing lies near that limit). A text on both sides needs no link.
+    ``other`` of a fit text, at most ``edits`` of the longer one's words changed, added or dropped (half as many again as
+    counted as the same, as nothing lies near that limit). No such pair is lost, however rare the edited words are and however
+    low the weighted ``cosine`` is. A text on both sides needs no link.
 
     Null ids, narratives and splits, other splits, and ids that ``texts`` lacks take no part; repeated rows count once;
     a text without letters or digits matches its like only; empty tables give empty results.
@@ -207,19 +204,19 @@ def split_overlaps(manifest: DataFrame, texts: DataFrame, least: float = 0.7, le
     sides = members.groupBy("key").agg(F.max(F.col("split") == fit).alias("in_fit"), F.max(F.col("split") != fit).alias("in_eval"), F.min("rid").alias("doc"))
     docs = staged(sides.join(rows.select(F.col("rid").alias("doc"), "words"), "doc"))
     weights = Weights(docs)
-    make = _postings(weights, least, lead)
+    make = _postings(weights, edits)
     p, q = docs.where("in_eval").mapInArrow(make, _POSTING).alias("p"), docs.where("in_fit").mapInArrow(make, _POSTING).alias("q")
-    near = F.col("p.norm_left") * F.col("q.norm_left") >= least - 1e-4
-    size = F.least("p.n_words", "q.n_words") >= (1 - edits) * F.greatest("p.n_words", "q.n_words")
-    # The lower 8 bits of a leading term are its weight times 8, rounded up: a bound of what the shared ones add to the product.
-    shared = F.aggregate(F.array_intersect("p.lead", "q.lead"), F.lit(0).cast("long"), lambda a, x: a + F.pow(x.bitwiseAND(255), F.lit(2)).cast("long"))
-    bound = shared / (64 * F.col("p.norm") * F.col("q.norm")) + F.greatest("p.lead_left", "q.lead_left") >= least - 1e-4
-    pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & near & size & (F.col("p.doc") != F.col("q.doc")) & bound)
+    same = (1 - edits) * F.greatest("p.n_words", "q.n_words") - SLACK  # words that both texts must have
+    size = F.least("p.n_words", "q.n_words") >= same
+    first = (F.col("p.n_words") - F.col("p.before") >= same) & (F.col("q.n_words") - F.col("q.before") >= same)
+    lone = lambda x, y: sum(F.bit_count(F.col(f"{x}.{b}").bitwiseAND(F.bitwise_not(f"{y}.{b}"))) for b in BITS)
+    bound = (F.col("p.n_words") - lone("p", "q") >= same) & (F.col("q.n_words") - lone("q", "p") >= same)
+    pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & size & first & (F.col("p.doc") != F.col("q.doc")) & bound)
     pairs = staged(pairs.select(F.col("p.doc").alias("doc"), F.col("q.doc").alias("other")).distinct())
     seen = bitmap(pairs.select("doc").union(pairs.select("other")), "doc")
     said = docs.select("doc", "words", slot(F.col("doc")).alias("slot")).mapInArrow(_kept(seen), "doc long, words string")
     full = pairs.join(said, "doc").join(said.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other")
-    links = full.select("doc", "other", "words", "other_words").mapInArrow(_decided(weights, least, edits), "doc long, other long, cosine double")
+    links = full.select("doc", "other", "words", "other_words").mapInArrow(_decided(weights, edits), "doc long, other long, cosine double")
     return members.select("id", "split", "via", "key").distinct(), docs, links
 
 

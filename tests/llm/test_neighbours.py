@@ -57,6 +57,13 @@ def test_unusable_repeated_and_copied_rows(spark):
     assert (pairs.row_a < pairs.row_b).all() and not pairs.duplicated().any() and (0, 108) in set(pairs.itertuples(index=False, name=None))
 
 
+def test_an_infinite_vector_costs_the_others_nothing(spark, clustered):
+    bad = [(1000, [float("inf")] + [1.0] * 23, 0, None, "clash", 1), (1001, [float("-inf")] + [1.0] * 23, 0, None, "clash", 1)]
+    plain, got = (most_similar(rows(spark, clustered, x), parts=12, words=32).toPandas() for x in ((), bad))
+    order = ["row_id", "rank"]
+    assert got.sort_values(order).reset_index(drop=True).equals(plain.sort_values(order).reset_index(drop=True))
+
+
 def test_reached_from_and_empty(spark):
     v = rows(spark, np.eye(4, dtype=np.float32) + 0.1)
     manifest = spark.createDataFrame([(0,), (2,), (2,), (None,)], "embedding_row long")

@@ -128,7 +128,7 @@ def most_similar(vectors: DataFrame, reached_from: DataFrame | None = None, k: i
     stamped = held.select("row_id", F.struct(F.xxhash64("vec").alias("x"), F.hash("vec").alias("y")).alias("h"))
     classes = stamped.groupBy("h").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = stamped.join(classes.where("n > 1"), "h").select("row_id", "rep")
-    sample, n = training_sample(vectors.where(F.col("embedding_row").isNotNull() & (F.size("embedding") == dim)).select(F.col("embedding_row").cast("long").alias("row_id"), F.col("embedding").alias("vec")).where("exists(vec, x -> x != 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x))"), sample_rows)
+    sample, n = training_sample(vectors.where(F.col("embedding_row").isNotNull() & (F.size("embedding") == dim)).select(F.col("embedding_row").cast("long").alias("row_id"), F.col("embedding").alias("vec")).where("exists(vec, x -> x != 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"), sample_rows)
     schema = "row_id long, other_id long, similarity double, rank int"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema)

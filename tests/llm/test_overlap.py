@@ -81,7 +81,8 @@ def test_unseen_words_in_copies_at_growing_n(spark, n):
     assert {(r.id, r.split) for r in overlapping(*parts).collect()} == want
 
 
-def test_links_are_all_pairs_within_the_edits(spark):
+@pytest.mark.parametrize("block_rows", [3])
+def test_links_are_all_pairs_within_the_edits(spark, block_rows):
     # Heavily repeated words, edits of any kind, up to beyond the limit: the links are those of brute force.
     rng = random.Random(8)
     fit = [[rng.choice("abcdefgh") if rng.random() < 0.5 else rng.choice(VOCABULARY) for _ in range(rng.randrange(1, 130))] for _ in range(60)]
@@ -94,11 +95,11 @@ def test_links_are_all_pairs_within_the_edits(spark):
         held.append(t)
     fit, held = ([t for t in {" ".join(t) for t in x}] for x in (fit, held))
     rows = [(f"f{i}", "fit", t) for i, t in enumerate(fit)] + [(f"e{i}", "calibration", t) for i, t in enumerate(held)]
-    _, docs, links = split_overlaps(spark.createDataFrame([(i, s, "x") for i, s, _ in rows], M), spark.createDataFrame([(i, t, "web", "x") for i, _, t in rows], P))
+    _, docs, links = split_overlaps(spark.createDataFrame([(i, s, "x") for i, s, _ in rows], M), spark.createDataFrame([(i, t, "web", "x") for i, _, t in rows], P), block_rows=block_rows)
     said = {r.doc: " ".join(words(r.words)) for r in docs.collect()}
     got = {(said[r.doc], said[r.other]) for r in links.collect()}
     h, f = ({" ".join(words(t)) for t in x} for x in (held, fit))
-    assert got == {(a, b) for a in h for b in f if a != b and plain_edits(a.split(), b.split()) <= 0.15 * max(len(a.split()), len(b.split()))}
+    assert got == {(a, b) for a in h for b in f if a != b and plain_edits(a.split(), b.split()) <= 0.1 * max(len(a.split()), len(b.split())) + 1e-9}
     assert len(got) > 50
 
 
@@ -106,3 +107,18 @@ def test_empty(spark):
     parts = split_overlaps(spark.createDataFrame([], M), spark.createDataFrame([("a", "b", "c", "d")], P))
     assert overlapping(*parts).count() == 0 and overlap_report(*parts).count() == 0
     assert words("A—b  'c-d' ...") == ["a", "b", "cd"]
+
+
+@pytest.mark.parametrize(("size", "vocabulary", "changed"), [(30, 120, 1), (30, 120, 3), (50, 2000, 5)])
+def test_up_to_one_word_in_ten_whatever_the_vocabulary(spark, size, vocabulary, changed):
+    rng = random.Random(size + changed)
+    said = [f"w{int(vocabulary * rng.random() ** 3)}" for _ in range(400 * size)]
+    base = [said[i * size : (i + 1) * size] for i in range(400)]
+    manifest, prepared = [(f"f{i}", "fit", "x") for i in range(400)], [(f"f{i}", " ".join(t), "web", "x") for i, t in enumerate(base)]
+    for i, t in enumerate(base[:100]):
+        t = list(t)
+        for k in rng.sample(range(size), changed):
+            t[k] = f"w{rng.randrange(vocabulary)}" if i % 2 else f"new{rng.random()}"
+        manifest.append((f"e{i}", "validation", "x")), prepared.append((f"e{i}", " ".join(t), "web", "x"))
+    parts = split_overlaps(spark.createDataFrame(manifest, M), spark.createDataFrame(prepared, P))
+    assert {r.id for r in overlapping(*parts).collect()} >= {f"e{i}" for i in range(100)}

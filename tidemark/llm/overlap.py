@@ -1,20 +1,20 @@
-"""Same or nearly the same texts across splits (problem 6): weighted join over inverted lists.
-
-Texts become word vectors weighted by inverse document frequency over all texts, words hashed to a fixed number of
-terms. How many words a text shares follows from the edit rule alone, whatever the corpus: every change, addition or drop
-costs the longer text at most one of its words, so of two texts with at most a share e of the longer one's m words edited,
-(1 - e) m words are the same. With terms in one global order, rarest first, the first term such a pair shares is therefore
-preceded by at most n - (1 - e) m words in either text of n words. Only these leading terms are listed, and of them those
-that both sides have: an edited word that occurs nowhere else takes its place among the words that may differ, but can hide
-nothing. Then bitmaps of the texts' terms, which postings carry along, discard most pairs before any text is fetched: a bit
-that only one text has is a word at least that the other lacks. The word edits decide. Texts alike but for formatting are
-one text throughout, so a text with very many copies is joined once.
+"""Same or nearly the same texts across splits (problem 6): weighted join over inverted lists of word vectors.
+
+A text is a vector over words, each weighted by how often it occurs. Every change, addition or drop costs the longer of two
+texts at most one of its words, so with at most a share e of the longer one's m words edited the two have a dot product (of
+the lesser counts) of (1 - e) m at least: the threshold of a pair follows from the edit rule and the pair's sizes alone,
+whatever the corpus. Words stand in one global order, rarest first. A list entry carries the residual weight of its text
+from that word on, and two texts whose residuals can't reach the threshold any more at the first word they share need no
+look: only these leading words are listed, and of them those that both sides have. (An edited word that occurs nowhere else
+takes its place among the words that may differ, but can hide nothing.) Then bitmaps of the texts' words, which entries
+carry along, bound the dot product from above before any text is fetched. Exact dot products and word edits decide; the
+cosine under inverse document frequencies is given with each link. Texts alike but for formatting are one text throughout,
+so a text with very many copies is joined once, and words that very many texts list are cut into a grid of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.letters import Grams, Letters, words
 from tidemark.llm.sieve import bitmap, slot
 from tidemark.session import staged
 
-TERMS = 1 << 20  # bound of the document frequency table, whatever the vocabulary
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS  # bound of the document frequency table, whatever the vocabulary: words that share a slot share its frequency, in the order and the idf
+BLOCK_ROWS = 20_000  # entries of a word's list on either side that meet in one task
 
 
 SLACK = 1e-6  # of products with a share of words, against rounding
 BITS = ("b0", "b1", "b2", "b3")  # 64 bits each of a text's terms; where longer texts set most of them, the bound gets looser, not wrong
 
 
-def words(text: str) -> list[str]:
-    """Case-folded words between white space or dashes, without their punctuation."""
-    return [w for w in ("".join(filter(str.isalnum, part)) for part in text.casefold().replace("—", " ").replace("–", " ").split()) if w]
-
-
 def _keyed(wanted: np.ndarray):
     packed = np.packbits(wanted)
 
@@ -62,80 +60,93 @@ def _kept(wanted: np.ndarray):
     return run
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number in the batch, 64-bit hash of the word, times it occurs), each pair once, ordered by document."""
+    letters, grams = Letters(texts), Grams()
+    at, h = grams.of_words(letters, 1, grams.sums(letters))
+    doc = letters.owner[letters.starts[at]].astype(np.int64)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
+
+
 class Weights:
-    """Inverse document frequencies by hashed term, and in which splits a term occurs at all."""
+    """Inverse document frequencies by slot of the word's hash, and in which splits a slot occurs at all."""
 
     def __init__(self, texts: DataFrame):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros((2, TERMS), np.int64)
+            held = np.zeros((2, SLOTS), np.int64)
             n = 0
             for b in batches:
-                doc, term, _ = _terms(b.column("words"))
+                doc, h, _ = _terms(b.column("words").to_pylist())
+                at = _slots(h)
                 for side, column in enumerate(("in_fit", "in_eval")):
-                    held[side] += np.bincount(term[b.column(column).to_numpy(zero_copy_only=False)[doc]], minlength=TERMS)
+                    held[side] += np.bincount(at[b.column(column).to_numpy(zero_copy_only=False)[doc]], minlength=SLOTS)
                 both = (b.column("in_fit").to_numpy(zero_copy_only=False) & b.column("in_eval").to_numpy(zero_copy_only=False)).sum()
                 n += b.num_rows + int(both)
             at = np.flatnonzero(held.any(0))
             yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(held[0, at], n)), pa.array(np.append(held[1, at], 0))], names=["term", "fit", "held_out"])
 
-        # At most TERMS rows of three numbers come to the driver.
+        # At most SLOTS rows of three numbers come to the driver.
         got = texts.mapInArrow(count, "term long, fit long, held_out long").groupBy("term").agg(F.sum("fit").alias("fit"), F.sum("held_out").alias("held_out")).toPandas()
         n = int(got.fit[got.term < 0].sum())
         got = got[got.term >= 0]
-        df = np.zeros(TERMS, np.int64)
+        df = np.zeros(SLOTS, np.int64)
         df[got.term] = got.fit + got.held_out
         self.idf = np.where(df > 0, np.log1p(n / np.maximum(df, 1)), 0).astype(np.float32)
-        self.shared = np.zeros(TERMS, bool)
+        self.shared = np.zeros(SLOTS, bool)
         self.shared[got.term] = (got.fit > 0) & (got.held_out > 0)
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document number in the batch, hashed term, times it occurs), each pair once, ordered by document."""
-    known: dict[str, int] = {}
-    docs, terms = [], []
-    for i, text in enumerate(column.to_pylist()):
-        ws = text.split()
-        docs.append(np.full(len(ws), i))
-        for w in ws:
-            t = known.get(w)
-            if t is None:
-                t = known[w] = zlib.crc32(w.encode()) % TERMS
-            terms.append(t)
-    if not terms:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair, times = np.unique(np.concatenate(docs) * TERMS + np.array(terms, np.int64), return_counts=True)
-    return pair // TERMS, pair % TERMS, times
-
-
-_POSTING = "term int, doc long, n_words int, before int, " + ", ".join(f"{x} long" for x in BITS)
+_POSTING = "term long, doc long, in_fit boolean, in_eval boolean, n_words int, residual int, " + ", ".join(f"{x} long" for x in BITS)
 
 
 def _postings(weights: Weights, edits: float):
-    names = ["term", "doc", "n_words", "before", *BITS]
+    names = ["term", "doc", "in_fit", "in_eval", "n_words", "residual", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, term, times = _terms(b.column("words"))
+            doc, h, times = _terms(b.column("words").to_pylist())
             if not len(doc):
                 continue
-            order = np.lexsort((term, -weights.idf[term], doc))  # rarest first, ties by term: the same order for all texts
-            doc, term, times = doc[order], term[order], times[order]
+            at = _slots(h)
+            order = np.lexsort((h, -weights.idf[at], doc))  # rarest first, ties by hash: the same order for all texts
+            doc, h, at, times = doc[order], h[order], at[order], times[order]
             n_words = np.bincount(doc, times, minlength=b.num_rows).astype(np.int64)
-            end = np.cumsum(n_words)
-            before = np.cumsum(times) - times - (end - n_words)[doc]
-            use = (before <= edits * n_words[doc] + SLACK) & weights.shared[term]
+            residual = np.cumsum(n_words)[doc] - np.cumsum(times) + times  # words from here on
+            use = (n_words[doc] - residual <= edits * n_words[doc] + SLACK) & weights.shared[at]
             bits = np.zeros((len(BITS), b.num_rows), np.uint64)
-            at = (term * 2654435761 >> 7) % (64 * len(BITS))
-            np.bitwise_or.at(bits, (at // 64, doc), np.uint64(1) << (at % 64).astype(np.uint64))
+            place = (h >> np.uint64(7)) % np.uint64(64 * len(BITS))
+            np.bitwise_or.at(bits, ((place // np.uint64(64)).astype(np.int64), doc), np.uint64(1) << (place % np.uint64(64)))
             bits = bits.view(np.int64)
-            keys, d = b.column("doc"), doc[use]
-            for a in range(0, len(d), 8192):
-                part = d[a : a + 8192]
-                yield pa.record_batch([pa.array(term[use][a : a + 8192].astype(np.int32)), keys.take(pa.array(part)), pa.array(n_words[part].astype(np.int32)), pa.array(before[use][a : a + 8192].astype(np.int32)), *(pa.array(x[part]) for x in bits)], names=names)
+            of, h, residual = doc[use], h[use].view(np.int64), residual[use].astype(np.int32)
+            for a in range(0, len(of), 8192):
+                part = of[a : a + 8192]
+                rows = pa.array(part)
+                yield pa.record_batch([pa.array(h[a : a + 8192]), *(b.column(c).take(rows) for c in ("doc", "in_fit", "in_eval")), pa.array(n_words[part].astype(np.int32)), pa.array(residual[a : a + 8192]), *(pa.array(x[part]) for x in bits)], names=names)
 
     return run
 
 
+def blocked(listed: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Held-out and fit entries with a cell (term, i, j), so that those of a term meet in one cell each, of at most about ``block_rows`` entries of either side."""
+    sizes = listed.groupBy("term").agg(F.count_if("in_eval").alias("p"), F.count_if("in_fit").alias("q")).where((F.col("p") > 0) & (F.col("q") > 0))
+    hot = sizes.where(F.greatest("p", "q") > block_rows).select("term", F.ceil(F.col("p") / block_rows).cast("long").alias("gp"), F.ceil(F.col("q") / block_rows).cast("long").alias("gq"))
+    hot = staged(hot)
+    few = hot.count() <= 100_000  # terms of long lists, at most a row per ``block_rows`` entries
+    all_ = listed.join(F.broadcast(hot) if few else hot, "term", "left")
+    mine = lambda g: F.pmod(F.xxhash64("doc"), F.coalesce(F.col(g), F.lit(1).cast("long")))
+    others = lambda g: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(g), F.lit(1)) - 1))
+    p = all_.where("in_eval").withColumn("i", mine("gp")).withColumn("j", others("gq"))
+    q = all_.where("in_fit").withColumn("j", mine("gq")).withColumn("i", others("gp"))
+    return p, q
+
+
 def word_edits(a: list[str], b: list[str]) -> int:
     """Words to change, add or drop to turn ``a`` into ``b``: bit-parallel columns of the alignment matrix."""
     if not a:
@@ -155,43 +166,44 @@ def word_edits(a: list[str], b: list[str]) -> int:
     return score
 
 
-def _decided(weights: Weights, edits: float, keep_texts: int = 4096):
+def _decided(weights: Weights, edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[set[int], float, list[str]]] = {}
-        square = (weights.idf.astype(np.float64) ** 2).tolist()
-
-        def unit(doc: int, text: str) -> tuple[set[int], float, list[str]]:
-            got = seen.get(doc)
-            if got is None:
-                if len(seen) >= keep_texts:
-                    seen.clear()
-                ws = text.split()
-                terms = {zlib.crc32(w.encode()) % TERMS for w in set(ws)}
-                got = seen[doc] = (terms, sum(map(square.__getitem__, terms)) ** 0.5 or 1.0, ws)
-            return got
-
-        for b in batches:
-            keep, cosines = [], []
-            for i, (doc, other, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "other", "words", "other_words")))):
-                (u, p, ws), (v, q, vs) = unit(doc, x), unit(other, y)
-                same, most = u & v, edits * max(len(ws), len(vs)) + SLACK
-                # A term that only one text has is an edit at least.
-                if max(len(u), len(v)) - len(same) <= most and word_edits(ws, vs) <= most:
-                    keep.append(i), cosines.append(sum(map(square.__getitem__, same)) / (p * q))
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column("doc").take(at), b.column("other").take(at), pa.array(cosines, pa.float64())], names=["doc", "other", "cosine"])
+        square = weights.idf.astype(np.float64) ** 2
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                b = batch.slice(a, 2048)
+                doc, other = b.column("doc").to_pylist(), b.column("other").to_pylist()
+                said = dict(zip(doc, b.column("words").to_pylist())) | dict(zip(other, b.column("other_words").to_pylist()))
+                at, h, times = _terms(list(said.values()))
+                ends = np.searchsorted(at, np.arange(len(said) + 1))
+                vector = {d: (h[x:y], times[x:y], int(times[x:y].sum())) for d, x, y in zip(said, ends[:-1], ends[1:])}
+                split: dict[int, list[str]] = {}
+                keep, cosines = [], []
+                for i, (x, y) in enumerate(zip(doc, other)):
+                    (u, m, p), (v, n, q) = vector[x], vector[y]
+                    same, of_u, of_v = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                    most = edits * max(p, q) + SLACK
+                    if max(p, q) - np.minimum(m[of_u], n[of_v]).sum() > most:  # the dot product
+                        continue
+                    for d in (x, y):
+                        if d not in split:
+                            split[d] = said[d].split()
+                    if word_edits(split[x], split[y]) <= most:
+                        norm = (square[_slots(u)].sum() * square[_slots(v)].sum()) ** 0.5
+                        keep.append(i), cosines.append(float(square[_slots(same)].sum() / (norm or 1.0)))
+                rows = pa.array(keep, pa.int64())
+                yield pa.record_batch([b.column("doc").take(rows), b.column("other").take(rows), pa.array(cosines, pa.float64())], names=["doc", "other", "cosine"])
 
     return run
 
 
-def split_overlaps(manifest: DataFrame, texts: DataFrame, edits: float = 0.15, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_overlaps(manifest: DataFrame, texts: DataFrame, edits: float = 0.1, fit: str = "fit", held_out: tuple[str, ...] = ("calibration", "validation"), block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts of held-out splits that also stand, exactly or almost, in the fit split.
 
     Returns ``members`` (id, split, via, key), one row per complaint, split and submitted_via, the ``texts`` (key, doc,
     words, in_fit, in_eval) and the ``links`` (doc, other, cosine) between different texts: ``doc`` of a held-out text,
-    ``other`` of a fit text, at most ``edits`` of the longer one's words changed, added or dropped (half as many again as
-    counted as the same, as nothing lies near that limit). No such pair is lost, however rare the edited words are and however
-    low the weighted ``cosine`` is. A text on both sides needs no link.
+    ``other`` of a fit text, at most ``edits`` of the longer one's words changed, added or dropped. No such pair is lost,
+    however rare the edited words are and however low the weighted ``cosine`` is. A text on both sides needs no link.
 
     Null ids, narratives and splits, other splits, and ids that ``texts`` lacks take no part; repeated rows count once;
     a text without letters or digits matches its like only; empty tables give empty results.
@@ -204,14 +216,15 @@ def split_overlaps(manifest: DataFrame, texts: DataFrame, edits: float = 0.15, f
     sides = members.groupBy("key").agg(F.max(F.col("split") == fit).alias("in_fit"), F.max(F.col("split") != fit).alias("in_eval"), F.min("rid").alias("doc"))
     docs = staged(sides.join(rows.select(F.col("rid").alias("doc"), "words"), "doc"))
     weights = Weights(docs)
-    make = _postings(weights, edits)
-    p, q = docs.where("in_eval").mapInArrow(make, _POSTING).alias("p"), docs.where("in_fit").mapInArrow(make, _POSTING).alias("q")
-    same = (1 - edits) * F.greatest("p.n_words", "q.n_words") - SLACK  # words that both texts must have
+    listed = staged(docs.mapInArrow(_postings(weights, edits), _POSTING))
+    p, q = (side.alias(name) for side, name in zip(blocked(listed, block_rows), "pq"))
+    same = (1 - edits) * F.greatest("p.n_words", "q.n_words") - SLACK  # the dot product that both texts must reach
     size = F.least("p.n_words", "q.n_words") >= same
-    first = (F.col("p.n_words") - F.col("p.before") >= same) & (F.col("q.n_words") - F.col("q.before") >= same)
+    first = (F.col("p.residual") >= same) & (F.col("q.residual") >= same)
     lone = lambda x, y: sum(F.bit_count(F.col(f"{x}.{b}").bitwiseAND(F.bitwise_not(f"{y}.{b}"))) for b in BITS)
     bound = (F.col("p.n_words") - lone("p", "q") >= same) & (F.col("q.n_words") - lone("q", "p") >= same)
-    pairs = p.join(q, (F.col("p.term") == F.col("q.term")) & size & first & (F.col("p.doc") != F.col("q.doc")) & bound)
+    cell = (F.col("p.term") == F.col("q.term")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+    pairs = p.join(q, cell & size & first & (F.col("p.doc") != F.col("q.doc")) & bound)
     pairs = staged(pairs.select(F.col("p.doc").alias("doc"), F.col("q.doc").alias("other")).distinct())
     seen = bitmap(pairs.select("doc").union(pairs.select("other")), "doc")
     said = docs.select("doc", "words", slot(F.col("doc")).alias("slot")).mapInArrow(_kept(seen), "doc long, words string")

@@ -49,8 +49,8 @@ def test_copies_in_columns(spark, bucket_rows):
     got = {(r.first_id, r.n_rows) for r in classes.collect()}
     assert got == {(min(v), len(v)) for v in groups.values()}
     want = {(min(v), i) for v in groups.values() for i in set(v) if i != min(v)}
-    for hot in (2, 100_000):
-        pairs = [(r.first_id, r.copy_id) for r in all_copies(classes, ids, hot).collect()]
+    for hot, few in ((2, 100), (2, 0), (100_000, 100)):
+        pairs = [(r.first_id, r.copy_id) for r in all_copies(classes, ids, hot, few).collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.session import staged
 
 FIELD_END, PAIR_END = "\x1f", "\x1e"
+FEW = 100_000  # prefixes or records that may be sent to all tasks
 
 
 def letters_and_digits(c: Column) -> Column:
@@ -140,19 +141,21 @@ _PIECE = pa.schema([("leaf", pa.int64()), ("canon", pa.binary()), ("n", pa.int64
 def split_prefixes(rows: DataFrame, bucket_rows: int, start: int = 8) -> list[set[bytes]]:
     """Per level the prefixes whose buckets are too large and are split by further bytes; level i has prefixes of ``start << i`` bytes.
 
-    Only prefixes of more than ``bucket_rows`` rows come to the driver, at most rows / bucket_rows of them a level. A
-    bucket of copies of one record isn't split, as no further byte can split it.
+    Only prefixes of more than ``bucket_rows`` rows come to the driver, at most rows / bucket_rows of them a level; the
+    rows of the next level are picked by a join with them, not by a list in the plan. A bucket of copies of one record
+    isn't split, as no further byte can split it.
     """
     levels: list[set[bytes]] = []
     left, width = rows.select(F.col("canon").cast("binary").alias("canon"), "digest"), start
     while True:
         head = F.substring("canon", 1, width)
         sizes = left.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
-        over = {bytes(r["head"]) for r in sizes.where((F.col("n") > bucket_rows) & (F.col("a") != F.col("b"))).select("head").toLocalIterator()}
+        split = staged(sizes.where((F.col("n") > bucket_rows) & (F.col("a") != F.col("b"))).select("head"))
+        over = {bytes(r["head"]) for r in split.toLocalIterator()}
         if not over:
             return levels
         levels.append(over)
-        left = left.where(head.isin([bytearray(x) for x in over]))
+        left = left.join(F.broadcast(split) if len(over) <= FEW else split, head == F.col("head"), "left_semi")
         width *= 2
 
 
@@ -221,19 +224,24 @@ def distinct_records(rows: DataFrame, bucket_rows: int = 200_000, block_rows: in
     return counted.select(F.unhex(F.md5("canon")).alias("digest"), "first_id", "n_rows"), held.select("id", "digest")
 
 
-def copies(classes: DataFrame, ids: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def copies(classes: DataFrame, ids: DataFrame, hot_rows: int = 100_000, few: int = FEW) -> DataFrame:
     """(first_id, copy_id) for each other id of a record, each pair once.
 
-    Records of more than ``hot_rows`` rows, at most one per ``hot_rows`` rows of the table, are sent to all tasks; others
-    are joined by their digest.
+    Records of more than ``hot_rows`` rows are sent to all tasks while they are few (``FEW``), else joined by their digest
+    and one of 64 parts of their ids; others are joined by their digest.
     """
     many = classes.where("n_rows > 1")
     hot = many.where(F.col("n_rows") > hot_rows).select("digest", "first_id")
     cold = many.where(F.col("n_rows") <= hot_rows).select("digest", "first_id")
-    joined = ids.join(F.broadcast(hot), "digest").unionByName(ids.join(cold, "digest"))
+    if hot.limit(few + 1).count() <= few:
+        of_hot = ids.join(F.broadcast(hot), "digest")
+    else:
+        parts = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+        of_hot = ids.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64).cast("long"))).join(parts, ["digest", "part"]).drop("part")
+    joined = of_hot.unionByName(ids.join(cold, "digest"))
     return joined.where("id <> first_id").select("first_id", F.col("id").alias("copy_id")).distinct()
 
 
-def all_copies(classes: DataFrame, ids: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def all_copies(classes: DataFrame, ids: DataFrame, hot_rows: int = 100_000, few: int = FEW) -> DataFrame:
     """As ``copies``, with the classes staged, as two branches read them."""
-    return copies(staged(classes), ids, hot_rows)
+    return copies(staged(classes), ids, hot_rows, few)

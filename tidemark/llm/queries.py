@@ -81,7 +81,8 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, root: str) -> Mix:
-    return Mix(_table(spark, root, "documents"), _table(spark, root, "mix_targets"))
+    vocabulary = spark.conf.get("tidemark.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    return Mix(_table(spark, root, "documents"), _table(spark, root, "mix_targets"), vocabulary)
 
 
 def p8_schedule(spark: SparkSession, root: str) -> DataFrame:
@@ -93,7 +94,7 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return _mix(spark, root).report.where("NOT reachable AND empty_slots >= 0 AND mixed_tokens >= 0").select("source")
+    return _mix(spark, root).report.where("NOT reachable").select("source")
 
 
 def p9_segments(spark: SparkSession, root: str) -> DataFrame:

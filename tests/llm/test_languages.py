@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from tidemark.llm.languages import document_languages, fit_profiles, mislabelled, segments, sentences, stretches
+from tidemark.llm.languages import _ranks, document_languages, fit_profiles, mislabelled, segments, sentences, stretches
 
 D = "doc_id long, text string, lang string, label string, seg_no int"
 EN = ["The letter from the bank was never answered and nobody called me back about it.", "I asked for a written copy of the contract several times during the winter.", "They told me that the refund would arrive within ten days but nothing has happened.", "Please correct the account and return the money that was taken without my consent."]
@@ -44,6 +44,26 @@ def test_stretches_and_labels(spark, corpus):
     assert one[1].label_holds and one[3].n_languages == 3 and not one[2].label_holds and set(one) == {1, 2, 3, 4, 5, 9, 10}
 
 
+def test_scripts_and_languages_of_the_labels(spark, corpus):
+    zh = ["银行的信从来没有得到回复。", "我在冬天多次要求提供合同的书面副本。", "他们告诉我退款会在十天内到账！", "请更正账户并退还未经我同意扣除的款项。"]
+    el = "Η επιστολή της τράπεζας δεν απαντήθηκε ποτέ. Ζήτησα αντίγραφο του συμβολαίου πολλές φορές. Μου είπαν ότι τα χρήματα θα έρθουν."
+    assert len(sentences("".join(zh))) == 4
+    rows = [(1, "".join(zh), None, "x", 1), (2, el, "en", "x", 1), (3, " ".join(EN[:2]) + " " + "".join(zh), "en", "x", 1)]
+    got = segments(spark.createDataFrame(rows, D), profiles=fit_profiles(corpus))
+    assert sorted((r.doc_id, r.seg_no, r.lang) for r in got.collect()) == [(1, 1, "und"), (2, 1, "und"), (3, 1, "en"), (3, 2, "und")]
+    labelled = corpus.unionByName(spark.createDataFrame([(1000 + i, "".join(p), "zh-CN", "x", 1) for i, p in enumerate(itertools.permutations(zh, 3))], D))
+    profiles = fit_profiles(labelled)
+    assert profiles.languages == ("de", "en", "es", "zh")
+    got = segments(spark.createDataFrame(rows, D), profiles=profiles)
+    assert sorted((r.doc_id, r.seg_no, r.lang) for r in got.collect()) == [(1, 1, "zh"), (2, 1, "und"), (3, 1, "en"), (3, 2, "zh")]
+
+
+def test_ranks_by_counting_and_by_sorting():
+    rng = np.random.default_rng(1)
+    text, count = np.repeat(np.arange(30), 20), rng.integers(1, 9, 600)
+    assert np.allclose(_ranks(text, count, 30), _ranks(text, count, 1 << 23))
+
+
 def test_empty(spark, corpus):
     assert segments(corpus.limit(0)).count() == 0
 

@@ -10,7 +10,7 @@ from tidemark.llm.copies import all_copies, canonical_columns, canonical_payload
 from tidemark.llm.languages import document_languages, mislabelled, segments
 from tidemark.llm.leaks import leaked_items
 from tidemark.llm.mixing import Mix
-from tidemark.llm.neighbours import close_pairs, most_similar
+from tidemark.llm.neighbours import close_pairs, most_similar, recall
 from tidemark.llm.overlap import overlap_report, overlapping, split_overlaps
 
 
@@ -26,6 +26,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return close_pairs(p1_neighbours(spark, root))
 
 
+def p1_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Recall of the five most similar against brute force."""
+    return recall(p1_neighbours(spark, root), _table(spark, root, "fit_embeddings"), _table(spark, root, "sample_manifest"))
+
+
 def _records(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {
         "prepared": canonical_columns(_table(spark, root, "prepared"), "complaint_id", ["date_received", "company", "narrative"]),
@@ -109,7 +114,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return mislabelled(segments(_table(spark, root, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p4_records, p4_found, p4_prepared_copies, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found, p8_schedule, p8_report, p8_found, p9_segments, p9_documents, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p1_recall, p4_records, p4_found, p4_prepared_copies, p5_clusters, p5_found, p6_overlap_report, p6_found, p7_leaks, p7_leaks_by_item, p7_found, p8_schedule, p8_report, p8_found, p9_segments, p9_documents, p9_found)}
 #: Brute force over all pairs of vectors, and grouping by the canonical text; for small tables.
 ORACLE: dict[str, str] = {
     "p1_found": """WITH v AS (SELECT embedding_row AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM fit_embeddings WHERE embedding IS NOT NULL AND embedding_row IN (SELECT embedding_row FROM sample_manifest)

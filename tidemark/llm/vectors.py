@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _usable(v: Column) -> Column:
+    return F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
 def usable_vectors(vectors: DataFrame, reached_from: DataFrame | None = None, row: str = "embedding_row", vec: str = "embedding", at: str = "encoded_at", dim: int | None = None) -> DataFrame:
     """(row_id, vec): one row per embedding_row with a usable vector.
 
@@ -16,7 +20,7 @@ def usable_vectors(vectors: DataFrame, reached_from: DataFrame | None = None, ro
     larger hash. With ``reached_from``, only rows named in that table's ``embedding_row``. Scale doesn't matter later on.
     """
     v = F.col(vec)
-    ok = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    ok = _usable(v)
     if dim is not None:
         ok = ok & (F.size(v) == dim)
     held = vectors.where(F.col(row).isNotNull() & v.isNotNull() & ok)
@@ -47,13 +51,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def training_sample(held: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` of the vectors, picked by a hash of the row id: a bounded fitting sample of unit rows."""
-    n = held.count()
-    picked = held if n <= most else held.where(F.pmod(F.xxhash64(F.col("row_id"), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n)))
+def usable_rows(vectors: DataFrame, dim: int, row: str = "embedding_row", vec: str = "embedding") -> DataFrame:
+    """(row_id, vec) of every stored row that ``usable_vectors`` may take, repeated rows as often as stored: to draw a sample from."""
+    v = F.col(vec)
+    return vectors.where(F.col(row).isNotNull() & _usable(v) & (F.size(v) == dim)).select(F.col(row).cast("long").alias("row_id"), v.alias("vec"))
+
+
+def training_sample(held: DataFrame, n: int, most: int) -> np.ndarray:
+    """At most ``most`` of the ``n`` vectors, picked by a hash of the row id: a bounded fitting sample of unit rows."""
+    picked = held if n <= most else held.where(F.pmod(F.xxhash64(F.col("row_id"), F.lit(17)), F.lit(100_000_000)) < int(100_000_000 * min(1.0, most / n)))
     table = picked.select("row_id", "vec").limit(most + most // 4).toArrow()
-    order = np.argsort(table.column("row_id").to_numpy())
-    return matrix(table.column("vec"))[order][:most], n
+    order = np.argsort(table.column("row_id").to_numpy(), kind="stable")
+    return matrix(table.column("vec"))[order][:most]
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0, spherical: bool = False) -> np.ndarray:

@@ -20,10 +20,33 @@ def test_tree_keeps_counts_and_sums():
     x, _ = blobs()
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = FeatureTree(32, threshold=0.9, max_leaves=10_000)
-    for v in x:
-        tree.insert(1.0, v)
+    tree.extend(x)
     n, s = tree.entries()
     assert n.sum() == 400 and np.allclose(s.sum(0), x.sum(0)) and len(n) == tree.size
+    small = FeatureTree(32, threshold=0.9, max_leaves=20)  # rebuilt many times, with entries set aside
+    small.extend(x)
+    n, s = small.entries()
+    assert n.sum() == 400 and np.allclose(s.sum(0), x.sum(0)) and len(n) <= 40
+
+
+def test_small_clusters_beside_a_large_one_and_noise(spark):
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(32, 32)))[0][:6]
+    sizes = [1500, 600, 300, 60, 8, 5]
+    x = np.concatenate([c + 0.1 * rng.normal(size=(n, 32)) for c, n in zip(centres, sizes)])
+    label = np.repeat(np.arange(6), sizes)
+    for noise in (0, 120):
+        rows = np.concatenate([x, rng.normal(size=(noise, 32))])
+        got = assigned(frame(spark, rows), 6, threshold=0.5).toPandas()
+        assert got.part.nunique() == 6
+        real = got[got.row_id < len(x)]
+        assert all(g.part.nunique() == 1 for _, g in real.assign(y=label[real.row_id]).groupby("y")) and real.part.nunique() == 6
+
+
+def test_as_many_clusters_as_asked_for(spark):
+    rng = np.random.default_rng(6)
+    narrow = np.eye(8)[0] + 0.15 * rng.normal(size=(300, 8))  # all alike by the tree's first threshold
+    assert assigned(frame(spark, narrow), 12).select("part").distinct().count() == 12
 
 
 def test_ward_against_plain_agglomeration():

@@ -2,10 +2,11 @@
 
 Every partition builds a cluster-feature tree over its unit vectors; a leaf entry is a mergeable summary (count, linear
 sum), a vector joins the nearest entry if its cosine with the entry's direction reaches the tree's threshold, and a tree
-that outgrows its bound is rebuilt: without its sparse entries (potential outliers, which are left to the assignment pass)
-where those are most of it, else with a lower threshold. Leaf summaries of neighbouring partitions are merged in
-rounds of bounded fan-in. The last round's entries, at most ``max_leaves``, are agglomerated by Ward's criterion on the
-driver, and one pass over all rows assigns each to the nearest centre.
+that outgrows its bound is rebuilt: where most of it are potential outliers, with these set aside in a coarser tree, else
+with a lower threshold. Leaf summaries of neighbouring partitions, those set aside included, are merged in rounds of bounded
+fan-in, so that a cluster of which every partition has a few rows only comes together. The last round's entries, at most
+twice ``max_leaves``, are agglomerated by Ward's criterion on the driver, and one pass over all rows assigns each to the
+nearest centre.
 """
 
 from __future__ import annotations
@@ -22,11 +23,21 @@ from tidemark.llm.vectors import matrix, usable_vectors, usual_size
 from tidemark.session import staged
 
 
+STRAY = 2.0  # entries of less weight are potential outliers
+
+
+def weight(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How far an entry is more than chance: squared length of its sum over its count, 1 for one vector and about 1 for vectors of unlike directions, 1 + (n - 1) c for n vectors of mean cosine c with each other."""
+    return (s * s).sum(1) / np.maximum(n, 1)
+
+
 class FeatureTree:
     """A cluster-feature tree over directions: entries (n, linear sum) in leaves, nodes of bounded width above them."""
 
-    def __init__(self, dim: int, threshold: float = 0.5, max_leaves: int = 1024, width: int = 32, sparse: float = 0.25):
-        self.dim, self.threshold, self.max_leaves, self.width, self.sparse = dim, threshold, max_leaves, width, sparse
+    def __init__(self, dim: int, threshold: float = 0.5, max_leaves: int = 1024, width: int = 32, outliers: bool = True):
+        self.dim, self.threshold, self.max_leaves, self.width = dim, threshold, max_leaves, width
+        #: Entries set aside, in a tree that is coarser and sets nothing aside itself.
+        self.aside = FeatureTree(dim, threshold - 0.1, max_leaves, width, False) if outliers else None
         self._clear()
 
     def _clear(self) -> None:
@@ -50,6 +61,34 @@ class FeatureTree:
         if not node["leaf"]:
             node["down"].append(down)
 
+    def extend(self, x: np.ndarray, first: int = 64, most: int = 1024) -> None:
+        """Add unit vectors, block by block: those that an entry takes at once, the others one by one."""
+        at, size = 0, first if not self.size else most
+        while at < len(x):
+            for v in x[at : at + size][self._absorbed(self.root, x[at : at + size])[2]]:
+                self.insert(1.0, v)
+            at, size = at + size, min(most, 2 * size)
+
+    def _absorbed(self, node: dict, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Adds the vectors that a leaf entry below ``node`` takes: how many, their sum, and which are left."""
+        if not node["k"]:
+            return 0, np.zeros(self.dim), np.ones(len(x), bool)
+        score = x @ node["dir"][: node["k"]].T
+        to, left, count, total = score.argmax(1), np.zeros(len(x), bool), 0, np.zeros(self.dim)
+        if node["leaf"]:
+            left = score[np.arange(len(x)), to] < self.threshold
+        for i in np.unique(to if not node["leaf"] else to[~left]):
+            rows = np.flatnonzero((to == i) & ~left)
+            if node["leaf"]:
+                n, s = len(rows), x[rows].sum(0)
+            else:
+                n, s, rest = self._absorbed(node["down"][i], x[rows])
+                left[rows] = rest
+            if n:
+                self._add(node, i, n, s)
+                count, total = count + n, total + s
+        return count, total, left
+
     def insert(self, n: float, s: np.ndarray) -> None:
         """Add ``n`` vectors with the sum ``s``."""
         unit = s / max(math.sqrt(s @ s), 1e-12)
@@ -96,18 +135,20 @@ class FeatureTree:
         return other
 
     def _rebuild(self) -> None:
-        n, s = self.entries()
-        dense = n >= self.sparse * n.mean()
-        if dense.sum() <= self.max_leaves // 2:
-            n, s = n[dense], s[dense]
+        n, s = self.entries(aside=False)
+        stray = weight(n, s) < STRAY
+        if self.aside is not None and stray.sum() >= self.max_leaves // 2:
+            for i in np.flatnonzero(stray):
+                self.aside.insert(n[i], s[i])
+            n, s = n[~stray], s[~stray]
         else:
             self.threshold -= 0.05
         self._clear()
         for i in np.argsort(-n, kind="stable"):
             self.insert(n[i], s[i])
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        n, s, todo = [], [], [self.root]
+    def entries(self, aside: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        n, s, todo = [], [], [self.root] + ([self.aside.root] if aside and self.aside is not None else [])
         while todo:
             node = todo.pop()
             if node["leaf"]:
@@ -128,7 +169,7 @@ def _leaf_table(node: int, tree: FeatureTree | None) -> pa.Table:
 
 
 def leaf_summaries(held: DataFrame, threshold: float, max_leaves: int, fan_in: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and linear sums of at most ``max_leaves`` entries that sum up all rows of ``held`` (row_id, vec)."""
+    """Counts and linear sums of at most twice ``max_leaves`` entries that sum up all rows of ``held`` (row_id, vec)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,8 +179,8 @@ def leaf_summaries(held: DataFrame, threshold: float, max_leaves: int, fan_in: i
             x = matrix(batch.column("vec")).astype(np.float64)
             if tree is None and len(x):
                 tree = FeatureTree(x.shape[1], threshold, max_leaves)
-            for v in x:
-                tree.insert(1.0, v)
+            if len(x):
+                tree.extend(x)
         yield from _leaf_table(TaskContext.get().partitionId(), tree).to_batches()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
@@ -192,16 +233,21 @@ def ward(n: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def fit_centres(held: DataFrame, k: int, threshold: float = 0.3, max_leaves: int = 1024, fan_in: int = 8, sparse: float = 0.25) -> np.ndarray:
-    """``k`` unit centres (fewer if there are fewer leaf entries).
+def fit_centres(held: DataFrame, k: int, threshold: float = 0.3, max_leaves: int = 1024, fan_in: int = 8) -> np.ndarray:
+    """``k`` unit centres (fewer only where there are fewer than ``k`` vectors that differ by more than a cosine of 0.99).
 
-    Entries that hold fewer than ``sparse`` times the mean count are potential outliers in the sense of cluster-feature
-    trees: they don't take part in the agglomeration (if enough others do), but their rows are assigned like all others.
+    The trees have room for eight entries a cluster at least, and where they come out with fewer entries than clusters they
+    are built again with a higher threshold. Entries of less weight than ``STRAY`` are potential outliers: while enough others
+    are left they don't take part in the agglomeration, but their rows are assigned like all others.
     """
+    max_leaves = max(max_leaves, 8 * k)
     n, s = leaf_summaries(held, threshold, max_leaves, fan_in)
+    while len(n) and len(n) < k and threshold < 0.99:
+        threshold = min(0.99, threshold + 0.2)
+        n, s = leaf_summaries(held, threshold, max_leaves, fan_in)
     if not len(n):
         return np.zeros((0, 1))
-    dense = n >= sparse * n.mean()
+    dense = weight(n, s) >= STRAY
     if dense.sum() >= k:
         n, s = n[dense], s[dense]
     label = ward(n, s, k)
@@ -238,7 +284,7 @@ def assigned(vectors: DataFrame, k: int, **fit) -> DataFrame:
     Null, all-zero and non-finite vectors, and those of another length than most, take no part; a repeated row counts once; an empty table gives no rows; with
     fewer distinct vectors than ``k`` there are fewer clusters. Ties go to the lower cluster number.
     """
-    held = usable_vectors(vectors, dim=usual_size(vectors))
+    held = staged(usable_vectors(vectors, dim=usual_size(vectors)))
     centres = fit_centres(held, k, **fit)
     schema = "row_id long, part int, cosine double, vec array<float>"
     if not len(centres):

@@ -23,7 +23,7 @@ from tidemark.llm.vectors import matrix, usable_vectors, usual_size
 from tidemark.session import staged
 
 
-STRAY = 2.0  # entries of less weight are potential outliers
+STRAY = 3.0  # entries of less weight are potential outliers: fewer than five vectors that are much alike, or very many that are not
 
 
 def weight(n: np.ndarray, s: np.ndarray) -> np.ndarray:

@@ -177,3 +177,16 @@ def test_profile_pieces(spark):
     w = Window.orderBy("i")
     z = spark.createDataFrame([(i, 3.0) for i in range(4)], "i int, z double").select(S.scan_statistic(F.col("z"), w).alias("s")).collect()
     assert [x.s if x.s is None else round(x.s, 6) for x in z] == [None, None, 5.196152, 5.196152]
+
+
+def test_exact_quantiles_whatever_the_sketch(spark):
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", None if i % 11 == 0 else float(rng.integers(0, 50)) if i % 2 else float(rng.normal())) for i in range(2000)] + [("one", 1.5), ("none", None)]
+    df, ps = spark.createDataFrame(rows, "k string, v double"), [0.025, 0.1, 0.5, 0.975, 0.0, 1.0]
+    for accuracy in (100, 100_000):
+        got = {r.k: r.q for r in exact_quantiles(df, ["k"], "v", ps, accuracy).collect()}
+        for k in {r[0] for r in rows}:
+            v = [x for key, x in rows if key == k and x is not None]
+            assert (got[k] is None and not v) or np.allclose(got[k], np.quantile(v, ps))
+    assert np.allclose(exact_quantiles(df, [], "v", ps).first().q, np.quantile([x for _, x in rows if x is not None], ps))
+    assert exact_quantiles(df.limit(0), ["k"], "v", ps).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = -1  # the cluster_id of a run's sum over its clusters
+ALL = -1  # the cluster_id under which a run's sum over its clusters is reported; ``is_sum`` tells it from a stored -1
 
 
 def held_rows(panel: DataFrame, period: str) -> DataFrame:
@@ -21,18 +21,19 @@ def held_rows(panel: DataFrame, period: str) -> DataFrame:
 
 
 def densified(held: DataFrame, step_days: int) -> DataFrame:
-    """Every series of every run on the run's whole calendar, and the run's own sum as cluster -1.
+    """Every series of every run on the run's whole calendar, and the run's own sum as cluster -1 with ``is_sum``.
 
     The calendar of a run goes from its first to its last stored period. Entities are crossed with it through a sequence
     per (run, cluster), an equi-join on the run, so no Cartesian product is planned; counts are then added by key.
     """
     span = held.groupBy("score_run").agg(F.min("period").alias("first"), F.max("period").alias("last"))
-    series = held.select("score_run", "cluster_id").distinct()
-    series = series.unionByName(span.select("score_run", F.lit(ALL).cast("long").alias("cluster_id")))
+    held = held.withColumn("is_sum", F.lit(False))
+    series = held.select("score_run", "cluster_id", "is_sum").distinct()
+    series = series.unionByName(span.select("score_run", F.lit(ALL).cast("long").alias("cluster_id"), F.lit(True).alias("is_sum")))
     every = F.sequence("first", "last", F.expr(f"interval {int(step_days)} days"))
-    grid = series.join(span, "score_run").select("score_run", "cluster_id", F.explode(every).alias("period"), F.lit(0).cast("long").alias("n"))
-    totals = held.groupBy("score_run", "period").agg(F.sum("n").alias("n")).withColumn("cluster_id", F.lit(ALL).cast("long"))
-    return grid.unionByName(held).unionByName(totals).groupBy("score_run", "cluster_id", "period").agg(F.sum("n").alias("n"))
+    grid = series.join(span, "score_run").select("score_run", "cluster_id", "is_sum", F.explode(every).alias("period"), F.lit(0).cast("long").alias("n"))
+    totals = held.groupBy("score_run", "period").agg(F.sum("n").alias("n")).withColumn("cluster_id", F.lit(ALL).cast("long")).withColumn("is_sum", F.lit(True))
+    return grid.unionByName(held).unionByName(totals).groupBy("score_run", "cluster_id", "is_sum", "period").agg(F.sum("n").alias("n"))
 
 
 def trailing(panel: DataFrame, grain: str, short: int, long: int) -> DataFrame:
@@ -44,7 +45,7 @@ def trailing(panel: DataFrame, grain: str, short: int, long: int) -> DataFrame:
     """
     period, step = {"week": ("week", 7), "day": ("received_day", 1)}[grain]
     dense = densified(held_rows(panel, period), step)
-    w = Window.partitionBy("score_run", "cluster_id").orderBy("period")
+    w = Window.partitionBy("score_run", "cluster_id", "is_sum").orderBy("period")
 
     def over(agg: Column, n: int) -> Column:
         return agg.over(w.rowsBetween(1 - n, 0))
@@ -67,4 +68,4 @@ def surges(panel: DataFrame, grain: str, short: int, long: int, least: int = 20)
     """Periods, from the ``long``-th of a run on, whose long total is at least ``least`` and whose short total is at least half of it."""
     out = trailing(panel, grain, short, long)
     out = out.where((F.col("period_no") >= long) & (F.col("long_total") >= least) & (2 * F.col("short_total") >= F.col("long_total")))
-    return out.select("grain", "score_run", "cluster_id", "period_start")
+    return out.select("grain", "score_run", "cluster_id", "period_start").distinct()

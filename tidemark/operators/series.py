@@ -1,12 +1,14 @@
 """Count panels over time: grids, shares, decaying memory, cumulative sums, alarms.
 
-A panel here has a row per ``run``, ``period`` and ``cluster_id`` with a count ``n``. Folds over time (capped memory,
-cumulative sums) run inside one aggregate expression over a sorted array of a series, whose length is bounded by the
-calendar; series and runs are spread over tasks.
+A panel here has a row per ``run``, ``period`` and ``cluster_id`` with a count ``n``. Folds over time (decaying memory,
+cumulative sums) are grouped Arrow functions, linear in a series' length, which the calendar bounds; series and runs are
+spread over tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,48 +54,55 @@ def static_shares(panel: DataFrame, fit: Column, smooth: float = 1.0, run: str =
 def decayed_shares(panel: DataFrame, keep: float, cap: float | None = None, run: str = "score_run") -> DataFrame:
     """Smoothed shares of a memory m <- keep * m + y over earlier periods: column ``memory_share``, null in a run's first period.
 
-    With ``cap``, at most cap * total * share of a period's count enters a cluster's memory, which couples the clusters:
-    a run's periods are folded one after the other, a run being one array of its calendar times its clusters.
+    Each series is one fold of its calendar. With ``cap``, at most cap * total * share of a period's count enters a
+    cluster's memory, which couples the clusters: then a run, its calendar times its clusters, is one fold.
     """
-    cells = panel.groupBy(run, "period").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "n"))).alias("c"))
-    rows = cells.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("period", "c"))).alias("rows"))
-    k = F.size(F.col("rows")[0]["c"])
-    zero = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(0.0))
-
-    def share(memory: Column) -> Column:
-        whole = F.aggregate(memory, F.lit(0.0), lambda a, x: a + x) + F.size(memory)
-        return F.transform(memory, lambda m: (m + 1) / whole)
-
-    def step(acc: Column, row: Column) -> Column:
-        y = F.transform(row["c"], lambda c: c["n"].cast("double"))
-        now = share(acc["m"])
-        seen = y
-        if cap is not None:
-            total = F.aggregate(y, F.lit(0.0), lambda a, x: a + x)
-            seen = F.zip_with(y, now, lambda n, s: F.least(n, F.lit(cap) * total * s))
-        memory = F.zip_with(acc["m"], F.when(F.size(acc["out"]) == 0, y).otherwise(seen), lambda m, v: F.lit(keep) * m + v)
-        return F.struct(memory.alias("m"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    start = F.struct(zero.alias("m"), F.expr("CAST(array() AS array<array<double>>)").alias("out"))
-    out = rows.select(run, "rows", F.aggregate("rows", start, step, lambda a: a["out"]).alias("s")).select(run, F.explode(F.arrays_zip("rows", "s")).alias("z"))
-    out = out.select(run, F.col("z.rows.period").alias("period"), F.explode(F.arrays_zip(F.col("z.rows.c").alias("c"), F.col("z.s").alias("s"))).alias("z"))
-    first = F.min("period").over(Window.partitionBy(run))
-    return out.select(run, "period", F.col("z.c.cluster_id").alias("cluster_id"), F.col("z.c.n").alias("n"), F.when(F.col("period") > first, F.col("z.s")).alias("memory_share"))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("period")
+        n, memory, m = rows.n.to_numpy(float), np.zeros(len(rows)), 0.0
+        for i in range(1, len(n)):
+            m = memory[i] = keep * m + n[i - 1]
+        return rows.assign(_m=memory)
+
+    def coupled(rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot_table(index="period", columns="cluster_id", values="n", aggfunc="sum", fill_value=0).sort_index()
+        y, memory = wide.to_numpy(float), np.zeros(wide.shape)
+        for i in range(1, len(y)):
+            share = (memory[i - 1] + 1) / (memory[i - 1].sum() + y.shape[1])
+            seen = y[0] if i == 1 else np.minimum(y[i - 1], cap * y[i - 1].sum() * share)
+            memory[i] = keep * memory[i - 1] + seen
+        held = pd.DataFrame(memory, wide.index, wide.columns).stack().rename("_m").reset_index()
+        return rows.merge(held, on=["period", "cluster_id"])[["score_run", "period", "cluster_id", "n", "_m"]]
+
+    rows = panel.select(F.col(run).alias("score_run"), "period", "cluster_id", F.col("n").cast("long").alias("n"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", _m double"
+    out = rows.groupBy("score_run", "cluster_id").applyInPandas(one, schema) if cap is None else rows.groupBy("score_run").applyInPandas(coupled, schema)
+    per = Window.partitionBy("score_run", "period")
+    first = F.min("period").over(Window.partitionBy("score_run"))
+    share = (F.col("_m") + 1) / (F.sum("_m").over(per) + F.count(F.lit(1)).over(per))
+    return out.select(F.col("score_run").alias(run), "period", "cluster_id", "n", F.when(F.col("period") > first, share).alias("memory_share"))
 
 
 def upper_cusum(scored: DataFrame, by: list[str], at: str, z: str, slack: float, limit: float) -> DataFrame:
-    """S = max(0, S + z - slack), an alarm where S > limit, after which S starts again from 0: columns ``cusum`` and ``alarm``. A null z counts as 0."""
-    series = scored.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.coalesce(z, F.lit(0.0)).alias("z")))).alias("s"))
-
-    def step(acc: Column, row: Column) -> Column:
-        before = F.when(F.size(acc) == 0, 0.0).otherwise(F.element_at(acc, -1)["next"])
-        now = F.greatest(F.lit(0.0), before + row["z"] - slack)
-        return F.concat(acc, F.array(F.struct(row["at"].alias("at"), now.alias("cusum"), (now > limit).alias("alarm"), F.when(now > limit, 0.0).otherwise(now).alias("next"))))
-
-    kind = dict(scored.dtypes)[at]
-    start = F.expr(f"CAST(array() AS array<struct<at:{kind},cusum:double,alarm:boolean,next:double>>)")
-    out = series.select(*by, F.explode(F.aggregate("s", start, step)).alias("r"))
-    return out.select(*by, F.col("r.at").alias(at), "r.cusum", "r.alarm")
+    """S = max(0, S + z - slack), an alarm where S > limit, after which S starts again from 0: columns ``cusum`` and ``alarm``. A null z counts as 0.
+
+    Each series is one fold over its periods.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(at)
+        out, s = np.zeros(len(rows)), 0.0
+        for i, v in enumerate(rows._z.to_numpy(float)):
+            s = out[i] = max(0.0, s + v - slack)
+            if s > limit:
+                s = 0.0
+        return rows.drop(columns="_z").assign(cusum=out, alarm=out > limit)
+
+    rows = scored.select(*by, at, F.coalesce(z, F.lit(0.0)).cast("double").alias("_z"))
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*by).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in [*by, at]) + ", cusum double, alarm boolean")
 
 
 def scan_statistic(z: Column, w: Window, width: int = 3) -> Column:

@@ -11,6 +11,8 @@ from tidemark.functions import special as X
 from tidemark.operators import calendar as K
 from tidemark.operators import series as S
 from tidemark.operators import vectors as V
+from tidemark.operators.lookups import small
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import scores as R
 from tidemark.plans import series as W
 from tidemark.session import table
@@ -77,8 +79,8 @@ def tx03_stacked_features(spark, root):
 @query(R._CENTRES + ", t AS (SELECT part, quantile_cont(distance, 0.9) AS p90 FROM a WHERE part = label GROUP BY 1) SELECT a.part, count(*) AS n, count(*) FILTER (WHERE distance <= p90) AS n_accepted FROM a LEFT JOIN t USING (part) GROUP BY a.part")
 def ml17_accepted_assignments(spark, root):
     a = R._assigned(spark, root)
-    limit = a.where("part = label").groupBy("part").agg(F.percentile("distance", F.lit(0.9)).alias("p90"))
-    return a.join(F.broadcast(limit), "part", "left").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") <= F.col("p90")).alias("n_accepted"))
+    limit = exact_quantiles(a.where("part = label"), ["part"], "distance", [0.9]).select("part", F.col("q")[0].alias("p90"))
+    return a.join(small(limit), "part", "left").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") <= F.col("p90")).alias("n_accepted"))
 
 
 _LIMITS = (1.0, 2.0, 3.0, 4.0, 6.0)
@@ -143,7 +145,7 @@ def sc12_regular_weeks(spark, root):
 
 @query("SELECT event_type, round((q[2] + q[3]) / 2, 6) AS q25, round((q[7] + q[8]) / 2, 6) AS q75 FROM (SELECT event_type, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM events GROUP BY 1)")
 def sc13_quartiles_from_deciles(spark, root):
-    q = table(spark, root, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
+    q = exact_quantiles(table(spark, root, "events"), ["event_type"], "value", [i / 10 for i in range(1, 10)])
     return q.select("event_type", F.round((F.col("q")[1] + F.col("q")[2]) / 2, 6).alias("q25"), F.round((F.col("q")[6] + F.col("q")[7]) / 2, 6).alias("q75"))
 
 
@@ -215,7 +217,7 @@ def ml03_frequency_baseline(spark, root):
 @query(R._NEAR + ", t AS (SELECT q, max(s) AS top FROM k GROUP BY 1), l AS (SELECT quantile_cont(top, 0.05) AS q05 FROM t) SELECT q AS query_id, round(top, 5) AS top_similarity, top < (SELECT q05 FROM l) AS is_novel FROM t")
 def ml11_similarity_novelty(spark, root):
     top = R._near(spark, root).groupBy("query_id").agg(F.max("similarity").alias("top"))
-    limit = top.agg(F.percentile("top", F.lit(0.05)).alias("q05"))  # one row
+    limit = exact_quantiles(top, [], "top", [0.05]).select(F.col("q")[0].alias("q05"))  # one row
     return top.join(F.broadcast(limit)).select("query_id", F.round("top", 5).alias("top_similarity"), (F.col("top") < F.col("q05")).alias("is_novel"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import profile as P
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -83,7 +84,7 @@ round(quantile_cont(n, 0.5), 6) AS median_chars, round(quantile_cont(n, 0.95), 6
 def ag12_group_summary(spark, root):
     r = _prepared(spark, root).where("hash IS NOT NULL AND product_canonical IS NOT NULL").select("product_canonical", "hash", F.length("narrative").alias("n"))
     h = r.groupBy("product_canonical", "hash").agg(F.count(F.lit(1)).alias("c")).groupBy("product_canonical").agg(F.sum("c").alias("n_rows"), F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("unique_text_fraction"), F.round(F.max("c") / F.sum("c"), 6).alias("dominant_template_fraction"))
-    q = r.groupBy("product_canonical").agg(F.round(F.percentile("n", F.lit(0.5)), 6).alias("median_chars"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95_chars"))
+    q = exact_quantiles(r, ["product_canonical"], "n", [0.5, 0.95]).select("product_canonical", F.round(F.col("q")[0], 6).alias("median_chars"), F.round(F.col("q")[1], 6).alias("p95_chars"))
     return h.join(q, "product_canonical")
 
 
@@ -112,8 +113,9 @@ _LEVELS = [0.025, 0.1, 0.25, 0.5, 0.75, 0.9, 0.975]
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{str(q)[2:].ljust(2, '0')}" for q in _LEVELS) + " FROM events GROUP BY event_type")
 def ag19_quantiles(spark, root):
-    q = F.percentile("value", F.array(*[F.lit(x) for x in _LEVELS]))
-    rows = table(spark, root, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), q.alias("q"))
+    e = table(spark, root, "events")
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    rows = mean.join(exact_quantiles(e, ["event_type"], "value", _LEVELS).withColumnRenamed("event_type", "_t"), F.col("event_type").eqNullSafe(F.col("_t")))
     return rows.select("event_type", "mean", *[F.round(F.col("q")[i], 6).alias(f"p{str(x)[2:].ljust(2, '0')}") for i, x in enumerate(_LEVELS)])
 
 
@@ -181,7 +183,11 @@ def ag29_lags(spark, root):
 @query("SELECT source, count(*) AS n, " + ", ".join(f"round(quantile_cont(c, {q}), 6) AS chars_p{int(q * 100)}, round(quantile_cont(w, {q}), 6) AS words_p{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + " FROM (SELECT source, length(text) AS c, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY source")
 def ag30_text_lengths(spark, root):
     r = table(spark, root, "documents").where("text IS NOT NULL").select("source", F.length("text").alias("c"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).alias("w"))
-    return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile(c, F.lit(q)), 6).alias(f"{name}_p{int(q * 100)}") for q in (0.05, 0.5, 0.95) for c, name in (("c", "chars"), ("w", "words"))])
+    ps, out = (0.05, 0.5, 0.95), r.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    for c, name in (("c", "chars"), ("w", "words")):
+        q = exact_quantiles(r, ["source"], c, ps).select(F.col("source").alias("_s"), *[F.round(F.col("q")[i], 6).alias(f"{name}_p{int(p * 100)}") for i, p in enumerate(ps)])
+        out = out.join(q, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return out
 
 
 @query("""SELECT count(*) FILTER (WHERE t IS NULL) AS n_null, count(*) FILTER (WHERE regexp_full_match(t, '\\s*')) AS n_blank, count(*) FILTER (WHERE w < 20) AS n_short, count(*) FILTER (WHERE w > 150) AS n_long, count(*) FILTER (WHERE contains(t, 'XXXX')) AS n_redacted, count(*) FILTER (WHERE contains(t, chr(10))) AS n_lines

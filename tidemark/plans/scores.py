@@ -10,6 +10,8 @@ from tidemark.functions import text as T
 from tidemark.operators import metrics as M
 from tidemark.operators import profile as P
 from tidemark.operators import vectors as V
+from tidemark.operators.lookups import small
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import series as W
 from tidemark.session import table
 
@@ -209,8 +211,8 @@ def ml07_assigned(spark, root):
 @query(_CENTRES + ", t AS (SELECT part, quantile_cont(distance, 0.95) AS p95 FROM a GROUP BY 1) SELECT vec_id, a.part, distance > p95 AS is_novel FROM a JOIN t USING (part)")
 def ml09_novelty(spark, root):
     a = _assigned(spark, root)
-    limit = a.groupBy("part").agg(F.percentile("distance", F.lit(0.95)).alias("p95"))
-    return a.join(F.broadcast(limit), "part").select("vec_id", "part", (F.col("distance") > F.col("p95")).alias("is_novel"))
+    limit = exact_quantiles(a, ["part"], "distance", [0.95]).select("part", F.col("q")[0].alias("p95"))
+    return a.join(small(limit), "part").select("vec_id", "part", (F.col("distance") > F.col("p95")).alias("is_novel"))
 
 
 _NEAR = f"WITH k AS (SELECT a.vec_id AS q, a.label AS ql, b.label AS bl, {_DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 7) DESC, b.vec_id) AS i FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.{_QUERY_IDS} QUALIFY i <= 5)\n"
@@ -232,8 +234,10 @@ def ml10_vote(spark, root):
 def ml14_neighbour_lift(spark, root):
     n = table(spark, root, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     chance = n.agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("chance"))
-    got = _near(spark, root).agg(F.percentile(F.when(F.col("place") == 1, F.col("similarity")), F.lit(0.01)).alias("q"), F.avg((F.col("ql") == F.col("bl")).cast("int")).alias("same"))
-    return got.join(F.broadcast(chance)).select(F.round("q", 5).alias("q01_top"), F.round("same", 6).alias("same_label"), F.round("chance", 6).alias("chance"), F.round(F.col("same") / F.col("chance"), 6).alias("lift"))
+    near = _near(spark, root)
+    q01 = exact_quantiles(near.where("place = 1"), [], "similarity", [0.01]).select(F.col("q")[0].alias("q"))
+    same = near.agg(F.avg((F.col("ql") == F.col("bl")).cast("int")).alias("same"))
+    return same.join(F.broadcast(q01)).join(F.broadcast(chance)).select(F.round("q", 5).alias("q01_top"), F.round("same", 6).alias("same_label"), F.round("chance", 6).alias("chance"), F.round(F.col("same") / F.col("chance"), 6).alias("lift"))
 
 
 @query(_CENTRES + ", g AS (SELECT part, label, count(*) AS n FROM a GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS same, sum(n) AS n FROM g), x AS (SELECT sum(m * (m - 1) / 2) AS x FROM (SELECT sum(n) AS m FROM g GROUP BY part)), y AS (SELECT sum(m * (m - 1) / 2) AS y FROM (SELECT sum(n) AS m FROM g GROUP BY label)) SELECT CAST(n AS BIGINT) AS n, round((same - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 6) AS adjusted_rand FROM s, x, y")

@@ -23,11 +23,11 @@ def query(sql: str | None):
 
 
 def weekly(spark, root):
-    return densified(held_rows(table(spark, root, "weekly_panel"), "week"), 7).where("cluster_id >= 0")
+    return densified(held_rows(table(spark, root, "weekly_panel"), "week"), 7).where("NOT is_sum").drop("is_sum")
 
 
 def daily(spark, root):
-    return densified(held_rows(table(spark, root, "daily_panel"), "received_day"), 1).where("cluster_id >= 0")
+    return densified(held_rows(table(spark, root, "daily_panel"), "received_day"), 1).where("NOT is_sum").drop("is_sum")
 
 
 def _dense(tab, col, step, name):

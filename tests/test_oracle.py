@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.plans import extra, prep, profile, scores, series, training_core
+from tidemark.plans import extra, more, prep, profile, scores, series, training_core
 
 ROOT = "/root/testdata/sf0.001"
-MODULES = (training_core, prep, series, profile, scores, extra)
-NAMES = [(m, n) for m in MODULES for n in m.QUERIES if n in m.ORACLE]
+MODULES = (training_core, prep, series, profile, scores, extra, more)
+SQL = {n: s for m in MODULES for n, s in m.ORACLE.items()}
+NAMES = [(m, n) for m in MODULES for n in m.QUERIES if n in SQL]
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,6 @@ def rows(df):
 
 @pytest.mark.parametrize(("module", "name"), NAMES, ids=[n for _, n in NAMES])
 def test_same_rows(spark, duck, module, name):
-    got, want = module.QUERIES[name](spark, ROOT).toPandas(), duck.execute(module.ORACLE[name]).df()
+    got, want = module.QUERIES[name](spark, ROOT).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

@@ -27,7 +27,7 @@ def weekly_predictive(panel: DataFrame, shape: float, keep: float = 0.9, slack:
 
 
 def daily_predictive(panel: DataFrame, shape: float, zero: float, effect: Column, width: int = 7) -> DataFrame:
-    """Per run, day and cluster: n, expected, upper_tail, impossible, of a zero-inflated negative binomial.
+    """Per run, day and cluster: n, expected, p10, p50, p90, upper_tail, impossible, of a zero-inflated negative binomial.
 
     The mean is the day's total times the share of the last ``width`` days times the weekday effect, made to sum to the
     total again; with probability ``zero`` a count is zero whatever the mean. ``upper_tail`` is the chance of n or more,
@@ -38,4 +38,6 @@ def daily_predictive(panel: DataFrame, shape: float, zero: float, effect: Column
     mean = F.when(F.col("total") > 0, F.col("total") * F.col("_e") / F.sum("_e").over(day))
     rows = rows.withColumn("_mean", mean).withColumn("expected", (1 - zero) * F.col("_mean")).drop("recent_share", "_e")
     tail = lambda c: F.when(c >= 0, (1 - zero) * (1 - nb_cdf_udf(c.cast("double"), F.lit(float(shape)), F.col("_mean")))).otherwise(1.0)
-    return rows.withColumn("upper_tail", tail(F.col("n") - 1)).withColumn("impossible", tail(F.col("total"))).drop("_mean")
+    # A quantile at or under the share of zeros is zero.
+    at = {k: nb_quantile_udf((q - zero) / (1 - zero))(F.lit(float(shape)), F.col("_mean")) if q > zero else F.when(F.col("_mean").isNotNull(), 0.0) for k, q in LEVELS.items()}
+    return rows.withColumns(at).withColumn("upper_tail", tail(F.col("n") - 1)).withColumn("impossible", tail(F.col("total"))).drop("_mean")

@@ -60,3 +60,71 @@ def rare_mixtures(panel: DataFrame, kappa: float, sims: int = 200, seed: int = 7
         return pd.DataFrame([(key[0], key[1], int(y.sum()), p)], columns=["score_run", "period", "total", "p_value"])
 
     return panel.where(F.col("share").isNotNull()).select("score_run", "period", "cluster_id", "n", "share").groupBy("score_run", "period").applyInPandas(simulate, "score_run long, period date, total long, p_value double")
+
+
+def alarm_budget(per_month: float, period_days: float, series: int) -> float:
+    """Alarms per decision when ``series`` series, decided on every ``period_days`` days, may give ``per_month`` false alarms a month together."""
+    return per_month / (365.25 / 12 / period_days * series)
+
+
+def _alarm_rate(z: np.ndarray, slack: float, limit: float) -> float:
+    """Share of alarms among the steps of the upper cumulative sums of each row of ``z``, restarted after an alarm."""
+    s, n = np.zeros(len(z)), 0
+    for step in z.T:
+        s = np.maximum(0, s + step - slack)
+        over = s > limit
+        n += int(over.sum())
+        s[over] = 0
+    return n / z.size
+
+
+def cusum_limit(target: float, slack: float = 0.5, highest: float = 50.0, rounds: int = 30, paths: int = 2_000, steps: int = 520, seed: int = 7) -> float:
+    """The least limit, to the bisection's precision, at which standard normal scores give at most ``target`` alarms per decision in seeded simulation."""
+    z = np.random.default_rng(seed).standard_normal((paths, steps))
+    low, high = 0.0, highest
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (low, mid) if _alarm_rate(z, slack, mid) <= target else (mid, high)
+    return high
+
+
+def empirical_limit(scored: DataFrame, by: list[str], at: str, z: str, target: float, slack: float = 0.5, highest: float = 50.0, points: int = 33, rounds: int = 4) -> float:
+    """The same from observed scores: each round folds every series once for ``points`` limits at a time and narrows the interval; one number a limit comes to the driver."""
+    low, high = 0.0, highest
+    for _ in range(rounds):
+        grid = np.linspace(low, high, points)
+
+        def fold(rows: pd.DataFrame, grid: np.ndarray = grid) -> pd.DataFrame:
+            s, n = np.zeros(len(grid)), np.zeros(len(grid), np.int64)
+            for v in rows.sort_values(at)._z.to_numpy(float):
+                s = np.maximum(0, s + v - slack)
+                n += s > grid
+                s[s > grid] = 0
+            return pd.DataFrame({"i": np.arange(len(grid)), "alarms": n, "steps": len(rows)})
+
+        rows = scored.select(*by, at, F.coalesce(z, F.lit(0.0)).cast("double").alias("_z"))
+        got = rows.groupBy(*by).applyInPandas(fold, "i int, alarms long, steps long").groupBy("i").agg((F.sum("alarms") / F.sum("steps")).alias("rate")).toPandas()
+        if got.empty:
+            return 0.0
+        rate = got.set_index("i").rate.reindex(range(points)).to_numpy()
+        first = int(np.argmax(rate <= target)) if (rate <= target).any() else points - 1
+        low, high = grid[max(0, first - 1)], grid[first]
+    return float(high)
+
+
+def nb_draws(rows: DataFrame, keys: list[str], mean: str, shape: float, draws: int, seed: int = 7) -> DataFrame:
+    """``keys`` with ``draw`` and ``value``: seeded negative-binomial draws (a Poisson whose rate is gamma-distributed) around ``mean``; an infinite shape gives Poisson draws. Rows with a null or non-positive mean draw zeros."""
+    held = rows.select(*keys, F.col(mean).cast("double").alias("_mean"), F.xxhash64(*keys).alias("_h"))
+    kinds = dict(held.dtypes)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for h, m in zip(b._h, b._mean):
+                rng = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFF])
+                m = 0.0 if m is None or not m > 0 else m
+                rate = np.full(draws, m) if np.isinf(shape) or m == 0 else rng.gamma(shape, m / shape, draws)
+                out.append(rng.poisson(rate))
+            yield b.loc[b.index.repeat(draws), keys].assign(draw=np.tile(np.arange(draws), len(b)), value=np.concatenate(out) if out else np.zeros(0, int))
+
+    return held.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", draw int, value long")

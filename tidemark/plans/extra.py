@@ -60,13 +60,6 @@ def tk02_top_three_by_probability(spark, root):
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 3").select("vec_id", "part", "place", F.round("p", 5).alias("probability"))
 
 
-@query("SELECT product_canonical, CAST(sum(CASE WHEN submitted_via = 'web' THEN 1 ELSE 0 END) AS BIGINT) AS web, CAST(sum(CASE WHEN submitted_via = 'phone' THEN 1 ELSE 0 END) AS BIGINT) AS phone, CAST(sum(CASE WHEN submitted_via = 'referral' THEN 1 ELSE 0 END) AS BIGINT) AS referral FROM prepared GROUP BY 1")
-def tx02_one_hot(spark, root):
-    hot = [(F.col("submitted_via") == v).cast("int").alias(v) for v in ("web", "phone", "referral")]
-    rows = table(spark, root, "prepared").select("product_canonical", *hot)
-    return rows.groupBy("product_canonical").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("web", "phone", "referral")])
-
-
 @query("SELECT m.embedding_row, len(e.embedding) + 2 AS size, CAST(CASE WHEN m.product_canonical = 'Home loan' THEN 1 ELSE 0 END AS DOUBLE) AS last_value FROM (SELECT DISTINCT embedding_row, product_canonical FROM sample_manifest WHERE embedding_row IS NOT NULL) m JOIN (SELECT embedding_row, min(shard_no) AS s, any_value(embedding) AS embedding FROM fit_embeddings WHERE embedding IS NOT NULL GROUP BY 1) e USING (embedding_row)")
 def tx03_stacked_features(spark, root):
     m = table(spark, root, "sample_manifest").where("embedding_row IS NOT NULL").select("embedding_row", "product_canonical").distinct()

@@ -20,19 +20,19 @@ def query(f):
 def _texts(spark, root):
     p = table(spark, root, "prepared").where("narrative IS NOT NULL").select("complaint_id", "period", "product_canonical", "t2", "narrative")
     # Fitting reads the features many times: they are written once.
-    return staged(M.hashed_features(p.where("period = 'train_2023_2024'"), p, "narrative", 1 << 10).drop("narrative"))
+    return staged(M.hashed_features(p.where("period = 'train_2023_2024'"), p, "narrative", 1 << 17).drop("narrative"))
 
 
 @query
 def ml01_linear_classes(spark, root):
     x = _texts(spark, root)
-    return M.linear_classes(x.where("period = 'train_2023_2024'"), x.where("period = 'validation_2025_h1'"), "product_canonical", rounds=5).select("complaint_id", "product_canonical", "predicted")
+    return M.linear_classes(x.where("period = 'train_2023_2024'"), x.where("period = 'validation_2025_h1'"), "product_canonical").select("complaint_id", "product_canonical", "predicted")
 
 
 @query
 def ml02_calibrated(spark, root):
     x = _texts(spark, root)
-    got = M.calibrated(x.where("period = 'train_2023_2024'"), x.where("period = 'validation_2025_h1'"), x.where("period = 'holdout_2025_h2'"), "t2", rounds=5)
+    got = M.calibrated(x.where("period = 'train_2023_2024'"), x.where("period = 'validation_2025_h1'"), x.where("period = 'holdout_2025_h2'"), "t2")
     return got.select("complaint_id", "t2", F.round("probability_true", 4).alias("probability_true"))
 
 
@@ -65,4 +65,4 @@ def st15_weekly_predictive(spark, root):
 def st16_daily_predictive(spark, root):
     effect = F.exp(0.05 * F.weekday("period"))
     got = daily_predictive(daily(spark, root), 8.0, 0.05, effect)
-    return got.select("score_run", "cluster_id", "period", "n", *[F.round(c, 6).alias(c) for c in ("expected", "upper_tail", "impossible")])
+    return got.select("score_run", "cluster_id", "period", "n", *[F.round(c, 6).alias(c) for c in ("expected", "upper_tail", "impossible")], *[F.col(c).cast("long").alias(c) for c in ("p10", "p50", "p90")])

@@ -52,16 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    if not _STAGED:
+        atexit.register(discard, spark)
+    _STAGED.append(f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage and keeps the rows of an expensive step that is read more than once; it outlives any executor. The
     table is deleted when the application ends, or before by ``discard``.
     """
-    at = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    if not _STAGED:
-        atexit.register(discard, df.sparkSession)
-    _STAGED.append(at)
+    at = scratch(df.sparkSession)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

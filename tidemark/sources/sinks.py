@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.sources import files
 
 
 def write_parquet(df: DataFrame, path: str, expected_rows: int | None = None, rows_per_file: int | None = None, partition_by: tuple[str, ...] = ()) -> int:
@@ -21,23 +21,26 @@ def write_parquet(df: DataFrame, path: str, expected_rows: int | None = None, ro
     return n
 
 
-def write_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = ()) -> None:
-    """A small result, such as a panel or a metrics table, as one CSV file with a header."""
+def write_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = (), one_file: bool = True) -> None:
+    """CSV with a header: a small result, such as a metrics table, as one file, or a file per task where ``one_file`` is off."""
     out = df.orderBy(*order_by) if order_by else df
-    out.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    (out.coalesce(1) if one_file else out).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(values: dict, path: str) -> None:
     """A report as JSON text with non-ASCII characters kept; NaN and infinities are refused."""
     text = json.dumps(values, ensure_ascii=False, allow_nan=False, indent=2, default=str)
-    with open(path, "x", encoding="utf-8") as f:
-        f.write(text + "\n")
+    files.write_text(path, text + "\n")
 
 
-def publish(staging: str, final: str) -> None:
-    """Move a finished staging directory of a local file system to its final name; an existing target or unfinished output is refused."""
-    if os.path.exists(final):
+def publish(staging: str, final: str, expected_rows: int | None = None) -> None:
+    """Move a finished staging directory to its final name within a store; an existing target, unfinished output or, where given, another number of Parquet rows is refused."""
+    if files.exists(final):
         raise FileExistsError(final)
-    if not os.path.exists(os.path.join(staging, "_SUCCESS")):
+    if not files.exists(f"{staging}/_SUCCESS"):
         raise ValueError(f"{staging} is not finished")
-    shutil.move(staging, final)
+    if expected_rows is not None:
+        n = SparkSession.active().read.parquet(staging).count()
+        if n != expected_rows:
+            raise ValueError(f"{staging} holds {n} rows instead of {expected_rows}")
+    files.rename(staging, final)

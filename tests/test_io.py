@@ -43,6 +43,43 @@ def test_files(spark, tmp_path):
         sinks.write_report({"x": float("nan")}, str(tmp_path / "n.json"))
 
 
+def test_labels_and_names():
+    from tidemark.functions.labels import flat_metrics, quantile_label, quantile_level
+
+    for level, label in ((0.025, "p025"), (0.1, "p10"), (0.5, "p50"), (0.975, "p975")):
+        assert quantile_label(level) == label and quantile_level(label) == level
+    for bad in ("q5", "p", "px"):
+        with pytest.raises(ValueError):
+            quantile_level(bad)
+    assert flat_metrics({"a": {"b": 1, "c": {"d": True, "e": None}}, "f": 2.5, "g": "x", "h": [1]}) == {"a/b": 1.0, "a/c/d": 1.0, "f": 2.5}
+
+
+def test_fit_score_sample_and_resume(spark, tmp_path):
+    from tidemark.operators import scoring
+
+    rows = [(i, i % 2, [float(i % 2), 0.01 * (i % 5)], dt.date(2025, 1, 6) + dt.timedelta(i % 21)) for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<float>, day date")
+    scoring.fit(df, "label", str(tmp_path / "model"))
+    new = df.unionByName(spark.createDataFrame([(900, 0, [9.0, 9.0], dt.date(2025, 1, 7)), (901, 0, None, dt.date(2025, 1, 7)), (None, 0, [0.0, 0.0], None)], df.schema))
+    history = spark.createDataFrame([(dt.date(2024, 12, 30), 0, 40), (dt.date(2025, 1, 6), 0, 999)], "period date, cluster_id int, n long")
+    scoring.score(new, str(tmp_path / "model"), str(tmp_path / "out"), "id", "day", history)
+    report = json.loads((tmp_path / "out" / "score.json").read_text())
+    assert report["n_rows"] == 213 and report["n_assigned"] == 211 and report["n_novel"] >= 1
+    weekly = spark.read.parquet(str(tmp_path / "out" / "weekly"))
+    assert weekly.count() == 6 and weekly.agg(F.sum("n")).first()[0] == 211
+    predicted = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    assert predicted.where("period = DATE '2025-01-06' AND cluster_id = 0").first().n < 999 and predicted.where("period = DATE '2024-12-30'").count() == 1
+    with pytest.raises(ValueError, match="repeated"):
+        scoring.score(df.unionByName(df.limit(1)), str(tmp_path / "model"), str(tmp_path / "out2"), "id", "day")
+    assert scoring.sampled(df, 20, "id", str(tmp_path / "sample")) == 20
+    scoring.sampled(df.orderBy(F.desc("id")), 20, "id", str(tmp_path / "again"))
+    ids = lambda name: sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert ids("sample") == ids("again")
+    with pytest.raises(ValueError, match="other settings"):
+        for settings in ({"v": 1}, {"v": 2}):
+            scoring.resumable(df, "id", lambda d: d.select("id"), str(tmp_path / "part"), settings, buckets=2)
+
+
 def test_streams(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1 + i % 14, 5), "k", str(i % 20)) for i in range(28)]
     spark.createDataFrame(rows, "at timestamp, k string, id string").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -59,11 +59,31 @@ def test_projection_is_centred_and_clusters_are_found(spark):
 def test_linear_models(spark):
     rows = [(i, "a" if i % 2 else "b", bool(i % 2), f"{'apples and pears' if i % 2 else 'trains and planes'} number {i % 5}") for i in range(60)] + [(99, None, None, None)]
     df = spark.createDataFrame(rows, "id int, y string, t boolean, text string")
-    x = M.hashed_features(df, df, "text", 256)
-    got = M.linear_classes(x, x, "y").where("y IS NOT NULL").toPandas()
+    x = M.term_slots(df, "text", 1 << 12)
+    got = M.linear_classes(x, x, "y", size=1 << 12).where("y IS NOT NULL").toPandas()
     assert (got.y == got.predicted).all()
-    p = M.calibrated(x, x, x, "t").where("t IS NOT NULL").toPandas()
+    p = M.calibrated(x, x, x, "t", size=1 << 12).where("t IS NOT NULL").toPandas()
     assert p[p.t].probability_true.min() > p[~p.t].probability_true.max()
+    assert M.linear_classes(x.limit(0), x, "y", size=1 << 12).where("predicted IS NULL").count() == 61
+
+
+def test_held_out_accuracy_of_linear_classes(spark):
+    rng = np.random.default_rng(4)
+    common, own = [f"c{i}" for i in range(200)], {k: [f"{k}{i}" for i in range(40)] for k in "abc"}
+    rows = []
+    for i in range(900):
+        y = "abc"[rng.choice(3, p=[0.6, 0.3, 0.1])]
+        words = list(rng.choice(common, 12)) + list(rng.choice(own[y], 4)) + list(rng.choice(own["abc"[rng.integers(3)]], 1))
+        rows.append((i, y, " ".join(rng.permutation(words))))
+    x = M.term_slots(spark.createDataFrame(rows, "id int, y string, text string"), "text", 1 << 14)
+    got = M.linear_classes(x.where("id < 600"), x.where("id >= 600"), "y", size=1 << 14).toPandas()
+    assert (got.y == got.predicted).mean() > 0.85
+
+
+def test_silhouette_in_blocks_is_the_same(spark):
+    df, _, _ = vectors(spark)
+    one, cut = ({r.label: r.silhouette for r in silhouette(df, "label", block_rows=b).collect()} for b in (20_000, 50))
+    assert one.keys() == cut.keys() and all(abs(one[k] - cut[k]) < 1e-9 for k in one)
 
 
 def test_text_features(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import due_after, helmert, working_days
 from tidemark.operators.series import decayed_shares
-from tidemark.operators.simulation import rare_mixtures, reweighted_shares
+from tidemark.operators.simulation import _alarm_rate, alarm_budget, cusum_limit, empirical_limit, nb_draws, rare_mixtures, reweighted_shares
 
 DAY = dt.date(2025, 1, 6)
 
@@ -48,3 +48,23 @@ def test_working_days(spark):
 def test_contrasts(spark):
     rows = helmert(spark, 5).toPandas().pivot(index="cluster", columns="contrast", values="value").to_numpy()
     assert np.allclose(rows.sum(0), 0) and np.allclose((rows**2).sum(1), 1) and np.allclose(rows.T @ rows, np.eye(4) * 5 / 4)
+
+
+def test_limits_meet_their_targets(spark):
+    z = np.random.default_rng(7).standard_normal((300, 520))
+    for target in (0.01, 0.002):
+        h = cusum_limit(target, paths=300)
+        assert 0.9 * target < _alarm_rate(z, 0.5, h) <= target
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, i, float(v)) for k in range(20) for i, v in enumerate(rng.standard_normal(100))], "k int, i int, z double")
+    h = empirical_limit(df, ["k"], "i", "z", 0.01)
+    rows = np.array([[r.z for r in df.where(f"k = {k}").orderBy("i").collect()] for k in range(3)])
+    assert h > 1 and _alarm_rate(rows, 0.5, h) < 0.05 and abs(alarm_budget(1, 7, 40) - 1 / (365.25 / 84 * 40)) < 1e-12
+
+
+def test_draws(spark):
+    df = spark.createDataFrame([(i, 20.0 if i < 50 else None) for i in range(60)], "k int, m double")
+    a, b = (nb_draws(df, ["k"], "m", 5.0, 40).toPandas().sort_values(["k", "draw"]) for _ in range(2))
+    assert (a.value.to_numpy() == b.value.to_numpy()).all() and len(a) == 2400
+    x = a[a.k < 50].value
+    assert abs(x.mean() - 20) < 1.5 and abs(x.var() - (20 + 400 / 5)) < 25 and (a[a.k >= 50].value == 0).all()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, HashingTF, IDF, StandardScaler, StringIndexer
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +14,123 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import ngrams, tokens
 
 
-def hashed_features(fit: DataFrame, df: DataFrame, text: str, size: int = 1 << 12) -> DataFrame:
-    """``df`` with ``features``: hashed words and word pairs, idf of the fit rows."""
-    gram = lambda d: d.withColumn("_g", F.concat(tokens(F.coalesce(F.col(text), F.lit(""))), ngrams(tokens(F.coalesce(F.col(text), F.lit(""))), 2)))
-    tf = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=size)
-    idf = IDF(inputCol="_tf", outputCol="features", minDocFreq=2).fit(tf.transform(gram(fit)))
-    return idf.transform(tf.transform(gram(df))).drop("_g", "_tf")
+SIZE = 1 << 17  # hashed features, of words and word pairs
 
 
-def linear_classes(fit: DataFrame, df: DataFrame, label: str, penalty: float = 1e-4, rounds: int = 10) -> DataFrame:
-    """``df`` (with features) and ``predicted``, by one linear classifier per class against the rest."""
-    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip").fit(fit.where(F.col(label).isNotNull()))
-    one = LogisticRegression(featuresCol="features", labelCol="_y", regParam=penalty, maxIter=rounds)
-    model = OneVsRest(classifier=one, labelCol="_y", featuresCol="features", predictionCol="_p", parallelism=4).fit(index.transform(fit.where(F.col(label).isNotNull())))
-    names = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(df).withColumn("predicted", F.get(names, F.col("_p").cast("int"))).drop("_p", "rawPrediction")
+def term_slots(df: DataFrame, text: str, size: int = SIZE, category: str | None = None) -> DataFrame:
+    """``df`` with ``slots``: the hashed words and word pairs of a text, and the category where one is given (a null one adds none)."""
+    words = tokens(F.coalesce(F.col(text), F.lit("")))
+    grams = F.concat(words, ngrams(words, 2))
+    if category:
+        grams = F.concat(grams, F.when(F.col(category).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("\x00"), F.col(category)))))
+    return df.withColumn("slots", F.transform(grams, lambda t: F.pmod(F.xxhash64(t), F.lit(size).cast("long")).cast("int")))
 
 
-def calibrated(fit: DataFrame, calibration: DataFrame, df: DataFrame, truth: str, penalty: float = 1e-4, rounds: int = 20) -> DataFrame:
+def slot_weights(fit: DataFrame, size: int = SIZE) -> np.ndarray:
+    """Smoothed inverse document frequency per slot; at most ``size`` counts come to the driver."""
+    n = fit.count()
+    df = fit.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(size, np.float32)
+    out[df.slot] = np.log((1 + n) / (1 + df.n)) + 1
+    return out
+
+
+def _vector(slots: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, n = np.unique(np.asarray(slots, np.int64), return_counts=True)
+    x = n * idf[at]
+    return at, (x / (np.sqrt((x * x).sum()) or 1.0)).astype(np.float32)
+
+
+class LinearModel:
+    """One linear classifier per class against the rest on weighted slots: logistic loss, L2, averaged stochastic gradient.
+
+    Every task goes through its rows ``epochs`` times from the common weights, and the tasks' averaged weights are averaged
+    by their rows, chunk by chunk, for the next round.
+    """
+
+    def __init__(self, fit: DataFrame, label: str, idf: np.ndarray, penalty: float = 1e-5, epochs: int = 4, rounds: int = 3, task_rows: int = 5_000, most_tasks: int = 64):
+        rows = fit.where(F.col(label).isNotNull())
+        tasks = max(1, min(most_tasks, rows.count() // task_rows))
+        self.labels = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]  # classes
+        self.idf, k, size = idf, len(self.labels), len(idf)
+        self.w = np.zeros((k, size + 1), np.float32)
+        if not k:
+            return
+        names = F.array(*[F.lit(c) for c in self.labels])
+        rows = rows.select("slots", (F.array_position(names, F.col(label)) - 1).cast("int").alias("y")).repartition(tasks, F.xxhash64("slots"))
+        rows = rows.sortWithinPartitions(F.xxhash64("slots", F.lit(3)))
+        chunk = 1 << 14
+
+        def trained(start: np.ndarray, done: int):
+            def run(batches):
+                data = [(_vector(s, idf), y) for b in batches for s, y in zip(b.column("slots").to_pylist(), b.column("y").to_pylist())]
+                if not data:
+                    return
+                w, total, scale, t = start.astype(np.float64), np.zeros(start.shape), 1.0, done * len(data)
+                begun, step = t, np.zeros(size + 1)
+                for _ in range(epochs):
+                    for (at, x), y in data:
+                        t += 1
+                        rate = 1.0 / (penalty * (t + 1 / penalty))
+                        p = 1 / (1 + np.exp(-np.clip(scale * (w[:, at] @ x) + w[:, -1], -30, 30)))
+                        p[y] -= 1
+                        total[:, at] += scale * w[:, at] * (t - begun - step[at])  # the average, brought up to date where it changes
+                        step[at] = t - begun
+                        scale *= 1 - rate * penalty
+                        w[:, at] -= (rate / scale) * p[:, None] * x
+                        w[:, -1] -= 0.1 * rate * p
+                total[:, :-1] += scale * w[:, :-1] * (t - begun - step[:-1])
+                mean = total / (t - begun)
+                mean[:, -1] = w[:, -1]
+                flat = mean.astype(np.float32).ravel()
+                parts = [flat[a : a + chunk] for a in range(0, len(flat), chunk)]
+                yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([len(data)] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "n", "w"])
+
+            return run
+
+        def mixed(table: pa.Table) -> pa.Table:
+            n = table.column("n").to_numpy()
+            w = np.stack([np.frombuffer(x, np.float32) for x in table.column("w").to_pylist()])
+            return pa.table({"chunk": table.column("chunk")[:1], "w": pa.array([(n @ w / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+        for r in range(rounds):
+            got = rows.mapInArrow(trained(self.w, r * epochs), "chunk int, n long, w binary").groupBy("chunk").applyInArrow(mixed, "chunk int, w binary").toArrow()
+            order = np.argsort(got.column("chunk").to_numpy())
+            parts = got.column("w").to_pylist()
+            self.w = np.frombuffer(b"".join(parts[i] for i in order), np.float32).reshape(k, size + 1)
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """``df`` (with slots) and ``scores``, one per class; they come to nothing but zeros where no class is known."""
+        w, idf = self.w, self.idf
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for s in b.column("slots").to_pylist():
+                    at, x = _vector(s, idf)
+                    out.append((w[:, at] @ x + w[:, -1]).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], names=[*b.schema.names, "scores"])
+
+        kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+        return df.mapInArrow(run, f"{kinds}, scores array<double>")
+
+
+def linear_classes(fit: DataFrame, df: DataFrame, label: str, penalty: float = 1e-5, size: int = SIZE) -> DataFrame:
+    """``df`` (with slots) and ``predicted``, the class of the highest score (the first by name on ties); null without classes."""
+    model = LinearModel(fit, label, slot_weights(fit, size), penalty)
+    if not model.labels:
+        return df.withColumn("predicted", F.lit(None).cast("string"))
+    names = F.array(*[F.lit(x) for x in model.labels])
+    return model.scored(df).withColumn("predicted", F.get(names, (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))).drop("scores")
+
+
+def calibrated(fit: DataFrame, calibration: DataFrame, df: DataFrame, truth: str, penalty: float = 1e-5, size: int = SIZE) -> DataFrame:
     """``df`` and ``probability_true``: a linear score fitted on ``fit``, its sigmoid on ``calibration``."""
-    known = lambda d: d.where(F.col(truth).isNotNull()).withColumn("_y", F.col(truth).cast("double"))
-    score = LogisticRegression(featuresCol="features", labelCol="_y", regParam=penalty, maxIter=rounds, rawPredictionCol="_raw", probabilityCol="_pr", predictionCol="_p").fit(known(fit))
-    margin = lambda d: score.transform(d).withColumn("_m", array_to_vector(F.array(vector_to_array("_raw")[1]))).drop("_raw", "_pr", "_p")
-    sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_p").fit(margin(known(calibration)))
+    model = LinearModel(fit, truth, slot_weights(fit.where(F.col(truth).isNotNull()), size), penalty)
+    true = model.labels.index(True)
+    margin = lambda d: model.scored(d).withColumn("_m", array_to_vector(F.array(F.col("scores")[true]))).drop("scores")
+    known = calibration.where(F.col(truth).isNotNull()).withColumn("_y", F.col(truth).cast("double"))
+    sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_p").fit(margin(known))
     return sigmoid.transform(margin(df)).withColumn("probability_true", vector_to_array("_pr")[1]).drop("_m", "_raw", "_pr", "_p")
 
 

@@ -90,11 +90,10 @@ def cusum_limit(target: float, slack: float = 0.5, highest: float = 50.0, rounds
 
 def empirical_limit(scored: DataFrame, by: list[str], at: str, z: str, target: float, slack: float = 0.5, highest: float = 50.0, points: int = 33, rounds: int = 4) -> float:
     """The same from observed scores: each round folds every series once for ``points`` limits at a time and narrows the interval; one number a limit comes to the driver."""
-    low, high = 0.0, highest
-    for _ in range(rounds):
-        grid = np.linspace(low, high, points)
+    rows = scored.select(*by, at, F.coalesce(z, F.lit(0.0)).cast("double").alias("_z"))
 
-        def fold(rows: pd.DataFrame, grid: np.ndarray = grid) -> pd.DataFrame:
+    def counted(grid: np.ndarray):
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
             s, n = np.zeros(len(grid)), np.zeros(len(grid), np.int64)
             for v in rows.sort_values(at)._z.to_numpy(float):
                 s = np.maximum(0, s + v - slack)
@@ -102,8 +101,12 @@ def empirical_limit(scored: DataFrame, by: list[str], at: str, z: str, target: f
                 s[s > grid] = 0
             return pd.DataFrame({"i": np.arange(len(grid)), "alarms": n, "steps": len(rows)})
 
-        rows = scored.select(*by, at, F.coalesce(z, F.lit(0.0)).cast("double").alias("_z"))
-        got = rows.groupBy(*by).applyInPandas(fold, "i int, alarms long, steps long").groupBy("i").agg((F.sum("alarms") / F.sum("steps")).alias("rate")).toPandas()
+        return fold
+
+    low, high = 0.0, highest
+    for _ in range(rounds):
+        grid = np.linspace(low, high, points)
+        got = rows.groupBy(*by).applyInPandas(counted(grid), "i int, alarms long, steps long").groupBy("i").agg((F.sum("alarms") / F.sum("steps")).alias("rate")).toPandas()
         if got.empty:
             return 0.0
         rate = got.set_index("i").rate.reindex(range(points)).to_numpy()

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import models as M
@@ -80,6 +81,67 @@ def test_held_out_accuracy_of_linear_classes(spark):
     assert (got.y == got.predicted).mean() > 0.85
 
 
+def test_words_of_a_text_are_made_once(spark):
+    x = M.term_slots(spark.createDataFrame([(1, "One a two-three", "p"), (2, "", None), (3, None, "p"), (4, "alone", None)], "id int, text string, c string"), "text", 1 << 12, "c")
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    terms = {1: ["one", "two", "three", "one two", "two three", "\x00p"], 2: [], 3: ["\x00p"], 4: ["alone"]}
+    flat = spark.createDataFrame([(t,) for t in sum(terms.values(), [])], "t string").selectExpr("t", "cast(pmod(xxhash64(t), 4096L) as int) AS s").toPandas()
+    slot = dict(zip(flat.t, flat.s))
+    assert {r.id: r.slots for r in x.collect()} == {i: [slot[t] for t in ts] for i, ts in terms.items()}
+
+
+def counting(spark, df):
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), n
+
+
+def labelled(spark, n):
+    rows = [(i, "ab"[i % 2], bool(i % 2), f"{'apples and pears' if i % 2 else 'trains and planes'} number {i % 5}") for i in range(n)]
+    return M.term_slots(spark.createDataFrame(rows, "id int, y string, t boolean, text string"), "text", 1 << 12)
+
+
+def test_fitting_reads_its_rows_at_most_twice(spark):
+    fit, n = counting(spark, labelled(spark, 80))
+    got = M.linear_classes(fit, labelled(spark, 20), "y", size=1 << 12).toPandas()
+    assert (got.y == got.predicted).all() and 80 <= n.value <= 160
+
+
+def test_parts_and_batches_are_fitted_whole(spark):
+    x, size = labelled(spark, 200), 1 << 12
+    rows = M.mixed_rows(x, "y", 40)
+    assert rows.count() == 200 and 1 < rows.select("part").distinct().count() <= 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cut = M.LinearModel(rows, "y", M.slot_weights(rows, size)).w
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(M.LinearModel(rows, "y", M.slot_weights(rows, size)).w, cut, atol=1e-5)
+
+
+def test_weights_of_a_step_are_those_of_its_rows():
+    rng = np.random.default_rng(1)
+    lists = [list(map(int, rng.integers(0, 50, n))) for n in rng.integers(0, 30, 37)]
+    idf = rng.random(50).astype(np.float32)
+    idf[:5] = 0
+    got = np.concatenate([M._matrix(at, *rest) @ np.eye(50)[at] for at, *rest in M._steps(pa.array(lists, pa.list_(pa.int32())), idf)])
+    want = np.stack([np.bincount(np.array(x, int), minlength=50) * idf for x in lists])
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-6)
+
+
+def test_rows_that_are_alike_do_not_overshoot(spark):
+    x = M.term_slots(spark.createDataFrame([(i, "a" if i % 10 < 7 else "b", "the same text") for i in range(400)], "id int, y string, text string"), "text", 1 << 10)
+    rows = M.mixed_rows(x, "y")
+    model = M.LinearModel(rows, "y", M.slot_weights(rows, 1 << 10))
+    p = 1 / (1 + np.exp(-np.array(model.scored(x.limit(1)).first().scores)))
+    assert np.allclose(p, [0.7, 0.3], atol=0.05)
+
+
 def test_silhouette_in_blocks_is_the_same(spark):
     df, _, _ = vectors(spark)
     one, cut = ({r.label: r.silhouette for r in silhouette(df, "label", block_rows=b).collect()} for b in (20_000, 50))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import models as M
 from tidemark.operators.predictive import daily_predictive, weekly_predictive
 from tidemark.plans.series import daily, weekly
-from tidemark.session import staged, table
+from tidemark.session import table
 
 QUERIES, ORACLE = {}, {}
 
@@ -19,8 +19,7 @@ def query(f):
 
 def _texts(spark, root):
     p = table(spark, root, "prepared").where("narrative IS NOT NULL").select("complaint_id", "period", "product_canonical", "t1", "t2", "narrative")
-    # Fitting reads the slots several times: they are written once.
-    return staged(M.term_slots(p, "narrative", category="product_canonical").drop("narrative"))
+    return M.term_slots(p, "narrative", category="product_canonical").drop("narrative")
 
 
 @query

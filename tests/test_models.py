@@ -112,6 +112,14 @@ def test_fitting_reads_its_rows_at_most_twice(spark):
     assert (got.y == got.predicted).all() and 80 <= n.value <= 160
 
 
+def test_calibration_reads_its_rows_once(spark):
+    fit, n = counting(spark, labelled(spark, 80))
+    calibration, m = counting(spark, labelled(spark, 40))
+    p = M.calibrated(fit, calibration, labelled(spark, 20), "t", size=1 << 12).toPandas()
+    assert p[p.t].probability_true.min() > p[~p.t].probability_true.max()
+    assert 80 <= n.value <= 160 and m.value == 40
+
+
 def test_parts_and_batches_are_fitted_whole(spark):
     x, size = labelled(spark, 200), 1 << 12
     rows = M.mixed_rows(x, "y", 40)

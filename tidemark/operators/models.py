@@ -204,8 +204,10 @@ def calibrated(fit: DataFrame, calibration: DataFrame, df: DataFrame, truth: str
     model = LinearModel(fit, truth, slot_weights(fit, size), penalty)
     true = model.labels.index(True)
     margin = lambda d: model.scored(d).withColumn("_m", array_to_vector(F.array(F.col("scores")[true]))).drop("scores")
-    known = calibration.where(F.col(truth).isNotNull()).withColumn("_y", F.col(truth).cast("double"))
-    sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_p").fit(margin(known))
+    known = calibration.where(F.col(truth).isNotNull()).select("slots", F.col(truth).cast("double").alias("_y"))
+    # The sigmoid's fit goes through its rows several times: their scores are written once.
+    known = staged(model.scored(known).select("_y", F.col("scores")[true].alias("_m"))).withColumn("_m", array_to_vector(F.array("_m")))
+    sigmoid = LogisticRegression(featuresCol="_m", labelCol="_y", probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_p").fit(known)
     return sigmoid.transform(margin(df)).withColumn("probability_true", vector_to_array("_pr")[1]).drop("_m", "_raw", "_pr", "_p")
 
 
